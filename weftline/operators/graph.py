@@ -1,18 +1,24 @@
 """Conversation graphs: validation, mainline, leaves, talks and windows, for all sessions at once.
 
 Placements: session_id, placement_id, message_id, document_id, ordinal, is_sidechain, ts_raw. Edges:
-child_placement_id, parent_message_id. The mainline of every session is found by pointer doubling over resolved
-parents (joins on placement ids), so a session of any length costs log2(length) joins and is never in one task.
+child_placement_id, parent_message_id. The mainlines of all sessions are found together, by vectorised walks inside
+partitions of (session, day); a session of any length is never in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.instant import order_key
-from weftline.session import cut
+from weftline.session import cut, parts
 
 
 def violations(sessions: DataFrame, messages: DataFrame, documents: DataFrame, placements: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,44 +74,86 @@ def chosen_leaf(placements: DataFrame, edges: DataFrame) -> DataFrame:
     return lf.unionByName(al).groupBy("session_id").agg(F.max(F.struct("p", "o")).alias("b")).select("session_id", F.col("b.o.placement_id").alias("placement_id"))
 
 
+def _bucket(ts_raw: str = "ts_raw") -> Column:
+    """Placements of a session are kept together by day, so that a long session spreads over its days."""
+    return F.coalesce(F.left(F.col(ts_raw), F.lit(10)), F.lit(""))
+
+
 def resolved_parents(placements: DataFrame, edges: DataFrame) -> DataFrame:
-    """(placement_id, session_id, parent_placement_id, ambiguous) over all placements of the session: none, the only one,
-    or of several the only one in the child's document."""
+    """(placement_id, session_id, parent_placement_id, parent_bucket, ambiguous) over all placements of the session:
+    none, the only one, or of several the only one in the child's document."""
     e = edges.select(F.col("child_placement_id").alias("placement_id"), "parent_message_id")
     child = placements.select("placement_id", "session_id", F.col("document_id").alias("doc")).join(e, "placement_id")
-    up = placements.select("session_id", F.col("message_id").alias("parent_message_id"), F.col("placement_id").alias("pp"), "document_id")
+    up = placements.select("session_id", F.col("message_id").alias("parent_message_id"), F.struct(F.col("placement_id").alias("id"), _bucket().alias("bucket")).alias("pp"), "document_id")
     j = child.join(up, ["session_id", "parent_message_id"], "left").groupBy("placement_id", "session_id").agg(
         F.count("pp").alias("n"), F.min("pp").alias("one"), F.count(F.when(F.col("document_id") == F.col("doc"), 1)).alias("same"), F.min(F.when(F.col("document_id") == F.col("doc"), F.col("pp"))).alias("near")
     )
     parent = F.when(F.col("n") == 1, F.col("one")).when((F.col("n") > 1) & (F.col("same") == 1), F.col("near"))
-    return j.select("placement_id", "session_id", parent.alias("parent_placement_id"), ((F.col("n") > 1) & (F.col("same") != 1)).alias("ambiguous"))
-
-
-def mainline(placements: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    return j.select("placement_id", "session_id", parent["id"].alias("parent_placement_id"), parent["bucket"].alias("parent_bucket"), ((F.col("n") > 1) & (F.col("same") != 1)).alias("ambiguous"))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the entries of a partition up its own placements, all sessions in step; where a parent lies elsewhere, an exit."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    is_entry = t["up"].is_valid().to_numpy()
+    nodes, entries = t.filter(pa.array(~is_entry)), t.filter(pa.array(is_entry))
+    ids = nodes["id"].combine_chunks()
+    parent = nodes["parent"].combine_chunks()
+    p = pc.fill_null(pc.if_else(pc.is_null(parent), pa.scalar(None, pa.int32()), pc.index_in(parent, value_set=ids)), -1).to_numpy().astype(np.int64)
+    at = pc.fill_null(pc.index_in(entries["id"].combine_chunks(), value_set=ids), -1).to_numpy().astype(np.int64)
+    up = entries["up"].to_numpy().astype(np.int64)
+    up, at = up[at >= 0], at[at >= 0]
+    seen = np.zeros(len(ids), bool)
+    rows, ups, outs, out_ups = [], [], [], []
+    while len(at):
+        fresh = ~seen[at]
+        at, up = at[fresh], up[fresh]
+        seen[at] = True
+        rows.append(at)
+        ups.append(up)
+        nxt = p[at]
+        gone = (nxt < 0) & pc.is_valid(parent.take(pa.array(at))).to_numpy(zero_copy_only=False)
+        outs.append(at[gone])
+        out_ups.append(up[gone] + 1)
+        at, up = nxt[nxt >= 0], up[nxt >= 0] + 1
+    if rows:
+        r, o = pa.array(np.concatenate(rows)), pa.array(np.concatenate(outs))
+        found = [nodes["session_id"].take(r), nodes["bucket"].take(r), ids.take(r), pa.array(np.concatenate(ups)), pa.array(np.zeros(len(r), bool))]
+        left = [nodes["session_id"].take(o), nodes["parent_bucket"].take(o), parent.take(o), pa.array(np.concatenate(out_ups)), pa.array(np.ones(len(o), bool))]
+        names = ["session_id", "bucket", "id", "up", "is_exit"]
+        yield from pa.concat_tables([pa.table(dict(zip(names, c))) for c in (found, left)]).to_batches()
+
+
+def mainline(placements: DataFrame, edges: DataFrame) -> DataFrame:
     """(session_id, position, placement_id, message_id, ambiguous): the branch of the chosen leaf, root first, from 0.
 
-    Ancestor sets double each round: after round r every member knows its 2**r-th ancestor. A loop ends at the first
+    Placements lie by (session, day); every partition walks all its branches upward at once, and only branches that go
+    on in another day take a further round, with just the placements of their sessions. A loop ends at the first
     placement seen again. ``ambiguous`` marks a placement whose parent could not be told.
     """
+    n = parts(placements.sparkSession)
     par = resolved_parents(placements, edges)
-    jump = cut(par.where(F.col("parent_placement_id").isNotNull()).select(F.col("placement_id").alias("a"), F.col("parent_placement_id").alias("b")))
-    line = cut(chosen_leaf(placements, edges).select("session_id", "placement_id", F.lit(0).cast("bigint").alias("up")))
-    n, step = line.count(), 1
-    for _ in range(max_rounds):
-        more = line.join(jump, line["placement_id"] == jump["a"]).select("session_id", F.col("b").alias("placement_id"), (F.col("up") + step).alias("up"))
-        grown = line.unionByName(more).groupBy("session_id", "placement_id").agg(F.min("up").alias("up"))
-        line = cut(grown)
-        m = line.count()
-        if m == n:
+    nodes = cut(placements.select("session_id", "placement_id", "message_id", _bucket().alias("bucket")).join(par.drop("session_id"), "placement_id", "left"))
+    leaf = chosen_leaf(placements, edges)
+    entries = nodes.select("session_id", "placement_id", "bucket").join(leaf.select("placement_id"), "placement_id", "left_semi").select("session_id", "bucket", F.col("placement_id").alias("id"), F.lit(0).cast("bigint").alias("up"))
+    base = nodes.select("session_id", "bucket", F.col("placement_id").alias("id"), F.col("parent_placement_id").alias("parent"), "parent_bucket", F.lit(None).cast("bigint").alias("up"))
+    line, here = None, base
+    while True:
+        tagged = here.unionByName(entries.select("session_id", "bucket", "id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("parent_bucket"), "up"))
+        step = cut(tagged.repartition(n, "session_id", "bucket").mapInArrow(_walk, "session_id string, bucket string, id string, up bigint, is_exit boolean"))
+        found = step.where("NOT is_exit").select("session_id", F.col("id").alias("placement_id"), "up")
+        line = found if line is None else line.unionByName(found)
+        # a branch that comes back to where it was is a loop
+        entries = step.where("is_exit").select("session_id", "bucket", "id", "up").join(line.select(F.col("placement_id").alias("id")), "id", "left_anti").select("session_id", "bucket", "id", "up")
+        if entries.isEmpty():
             break
-        n = m
-        x, y = jump.alias("x"), jump.alias("y")
-        jump = cut(x.join(y, F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b")))
-        step *= 2
-    top = Window.partitionBy("session_id")
-    out = line.withColumn("position", F.max("up").over(top) - F.col("up"))
-    out = out.join(par.select("placement_id", "ambiguous"), "placement_id", "left")
-    return out.join(placements.select("placement_id", "message_id"), "placement_id").select("session_id", "position", "placement_id", "message_id", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+        here = base.join(entries.select("session_id").distinct(), "session_id", "left_semi")
+    top = line.groupBy("session_id").agg(F.max("up").alias("top"))
+    out = line.join(top, "session_id").join(nodes.select("placement_id", "message_id", "ambiguous"), "placement_id")
+    return out.select("session_id", (F.col("top") - F.col("up")).alias("position"), "placement_id", "message_id", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def full_order(placements: DataFrame) -> DataFrame:
