@@ -34,7 +34,7 @@ def quotas(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None
     t = t.join(have, "source", "left").fillna(0, ["n_docs", "tokens"])
     every = Window.partitionBy(F.lit(1))  # one row a source of the target table
     t = t.withColumn("share", F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0))
-    t = t.withColumn("share", F.col("share") / F.sum("share").over(every))
+    t = t.withColumn("share", F.coalesce(F.try_divide("share", F.sum("share").over(every)), F.lit(0.0)))
     limit = F.min(F.when(F.col("share") > 0, F.col("max_repeats") * F.col("tokens") / F.col("share"))).over(every)
     t = t.withColumn("total", F.least(limit, F.lit(float(total_tokens))) if total_tokens else limit)
     return t.withColumn("copies", F.when(F.col("tokens") > 0, F.least(F.col("share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0))
@@ -81,4 +81,4 @@ def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     got = out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("mix_tokens"), F.sum("n_copies").cast("bigint").alias("mix_docs"), F.max("n_copies").alias("most_copies"))
     t = quota.join(got, "source", "left").fillna(0, ["mix_tokens", "mix_docs", "most_copies"])
     every = Window.partitionBy(F.lit(1))
-    return t.select("source", "target_share", "max_repeats", "n_docs", "tokens", F.round("copies", 6).alias("expected_copies"), "mix_docs", "mix_tokens", "most_copies", F.round(F.col("mix_tokens") / F.sum("mix_tokens").over(every), 6).alias("reached_share"))
+    return t.select("source", "target_share", "max_repeats", "n_docs", "tokens", F.round("copies", 6).alias("expected_copies"), "mix_docs", "mix_tokens", "most_copies", F.round(F.coalesce(F.try_divide(F.col("mix_tokens"), F.sum("mix_tokens").over(every)), F.lit(0.0)), 6).alias("reached_share"))
