@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ EVENTS = (
     "cache_write_tokens bigint, reasoning_tokens bigint, token_source string, committed int, skipped int, error string"
 )
 _COLS = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
-_INTS = [c.strip().split(" ")[0] for c in EVENTS.split(",") if c.strip().split(" ")[1] in ("int", "bigint")]
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(c.strip().split(" ")[0], _TYPES[c.strip().split(" ")[1]]) for c in EVENTS.split(",")])
 
 
 def discover(root: str, suffix: str) -> tuple[list[str], bool]:
@@ -68,10 +69,9 @@ def parse(snap: DataFrame, keep_truncated: bool = True) -> DataFrame:
     """Events of every source; each source is parsed in one task, sources in parallel. A fatal error gives one report
     with the error and nothing else of that source."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, size, print_, data in zip(f["path"], f["len"], f["fingerprint"], f["content"]):
-                data = bytes(data)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, size, print_, data in zip(*(b[c].to_pylist() for c in ("path", "len", "fingerprint", "content"))):
                 base = {"path": path, "fingerprint": print_, "len": size}
                 rows = []
                 try:
@@ -87,12 +87,10 @@ def parse(snap: DataFrame, keep_truncated: bool = True) -> DataFrame:
                         rows.append(base | e)
                 except Exception as e:  # noqa: BLE001 - whatever is wrong with a source stays with it
                     rows = [base | {"event": "report", "committed": 0, "skipped": 0, "error": f"{type(e).__name__}: {e}"[:500]}]
-                out = pd.DataFrame(rows).reindex(columns=_COLS)
-                for c in _INTS:
-                    out[c] = out[c].astype("Int64")
-                yield out
+                for k in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in _COLS} for r in rows[k : k + 10_000]], schema=_SCHEMA)
 
-    return snap.select("path", "len", "fingerprint", "content").mapInPandas(run, EVENTS)
+    return snap.select("path", "len", "fingerprint", "content").mapInArrow(run, EVENTS)
 
 
 def fingerprint(data: bytes) -> str:

@@ -70,7 +70,7 @@ def follow_sources(spark: SparkSession, folder: str, glob: str, store: reconcile
     """Watch a folder of transcripts: each batch of new or rewritten files goes through ``process(snapshot frame)``,
     which returns the tables to commit. The batch number is committed with the tables, so a batch that is run again
     after a crash changes nothing; a rewritten file replaces what it claimed before, however late it comes."""
-    s = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     s = s.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("len"), F.sha2("content", 256).alias("fingerprint"), "content")
 
     def batch(d: DataFrame, number: int) -> None:
