@@ -7,7 +7,9 @@ from datetime import UTC, datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Widest span of years the table covers. It bounds its size: about 600 zones x 2 or 3 intervals a year.
@@ -57,23 +59,33 @@ def interval_table(spark: SparkSession, zones: DataFrame | None = None, first: i
         zones = spark.createDataFrame(pd.DataFrame({"tz": sorted(available_timezones())}))
         zones = zones.repartition(max(2, spark.sparkContext.defaultParallelism))
     day = 86400
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("offset_s", pa.int32()), ("abbr", pa.string())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name in frame["tz"].dropna().unique():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, years, sizes, flat = [], [], [], []
+            for name in dict.fromkeys(b.column(0).drop_null().to_pylist()):
                 try:
                     spans = intervals(name, first, last)
                 except (KeyError, ValueError, OSError):
                     continue
-                by_year: dict[int, list[dict]] = {}
-                for a, b, off, abbr in spans:
-                    item = {"begin": (a + off) * 1_000_000, "end": (b + off) * 1_000_000, "offset_s": off, "abbr": abbr}
-                    y0 = (_EPOCH + timedelta(seconds=a + off - 2 * day)).year
-                    y1 = (_EPOCH + timedelta(seconds=b + off + 2 * day)).year
-                    for y in range(max(y0, first), min(y1, last) + 1):
-                        by_year.setdefault(y, []).append(item)
-                rows += [(name, y, v) for y, v in by_year.items()]
-            yield pd.DataFrame(rows, columns=["tz", "local_year", "spans"])
+                edges = [((_EPOCH + timedelta(seconds=a + off - 2 * day)).year, (_EPOCH + timedelta(seconds=e + off + 2 * day)).year) for a, e, off, _ in spans]
+                lo = 0
+                for y in range(first, last + 1):
+                    while edges[lo][1] < y:
+                        lo += 1
+                    hi = lo
+                    while hi < len(spans) and edges[hi][0] <= y:
+                        hi += 1
+                    names.append(name)
+                    years.append(y)
+                    sizes.append(hi - lo)
+                    flat += spans[lo:hi]
+            off = np.zeros(len(sizes) + 1, np.int32)
+            np.cumsum(sizes, out=off[1:])
+            a, e, o = (np.array([x[k] for x in flat], np.int64) for k in range(3))
+            cols = [pa.array((a + o) * 1_000_000), pa.array((e + o) * 1_000_000), pa.array(o.astype(np.int32)), pa.array([x[3] for x in flat], pa.string())]
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(cols, fields=list(span)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(years, pa.int32()), lists], names=["tz", "local_year", "spans"])
 
-    return zones.select("tz").mapInPandas(run, "tz string, local_year int, spans array<struct<begin:bigint,end:bigint,offset_s:int,abbr:string>>")
+    return zones.select("tz").mapInArrow(run, "tz string, local_year int, spans array<struct<begin:bigint,end:bigint,offset_s:int,abbr:string>>")

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from weftline.operators import jsonscan as js
 from weftline.operators.flatten import MARGIN
+from weftline.session import spread
 
 #: Canonical field -> the paths under which exports are known to carry the same information.
 ALIASES: dict[str, tuple[str, ...]] = {
@@ -108,7 +109,7 @@ def footers(df: DataFrame, json_col: str = "raw_json") -> DataFrame:
             if b.num_rows:
                 yield from _fields(b).to_batches()
 
-    found = src.mapInArrow(run, "stream_id string, file_no int, path string, type string")
+    found = spread(src).mapInArrow(run, "stream_id string, file_no int, path string, type string")
     per_path = found.groupBy("stream_id", "file_no", "path").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
     files = per_path.groupBy("stream_id", "file_no").agg(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "types"))).alias("fields"))
     w = Window.partitionBy("stream_id").orderBy("file_no")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import jsonscan as js
+from weftline.session import spread
 
 #: Characters around a record that are not part of it.
 MARGIN = " \t\r\n\f\v\x00\x1e\u00a0\u200b\u2060\ufeff"
@@ -29,7 +30,7 @@ RECORD_FIELDS = ("type", "uuid", "parentUuid", "sessionId", "timestamp", "cwd")
 
 
 def _input(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("line_id"), F.btrim(F.col(json_col), F.lit(MARGIN)).alias("raw"))
+    return spread(df.select(F.col(id_col).cast("bigint").alias("line_id"), F.btrim(F.col(json_col), F.lit(MARGIN)).alias("raw")))
 
 
 def _content(tape: js.Tape, member: np.ndarray, holders: np.ndarray) -> pa.ListArray:

@@ -146,6 +146,8 @@ def mainline(placements: DataFrame, edges: DataFrame) -> DataFrame:
         step = cut(tagged.repartition(n, "session_id", "bucket").mapInArrow(_walk, "session_id string, bucket string, id string, up bigint, is_exit boolean"))
         found = step.where("NOT is_exit").select("session_id", F.col("id").alias("placement_id"), "up")
         line = found if line is None else line.unionByName(found)
+        if step.where("is_exit").isEmpty():
+            break
         # a branch that comes back to where it was is a loop
         entries = step.where("is_exit").select("session_id", "bucket", "id", "up").join(line.select(F.col("placement_id").alias("id")), "id", "left_anti").select("session_id", "bucket", "id", "up")
         if entries.isEmpty():

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.session import spread
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -68,7 +69,8 @@ def bm25(messages: DataFrame, query: str, id_col: str = "id", text_col: str = "t
     terms, phrases = phrase_terms(query)
     if not terms:
         return messages.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    d = messages.select(F.col(id_col).alias("id"), tx.words(tx.cjk_tokens(tx.bounded_index_text(F.col(text_col)))).alias("w"))
+    d = spread(messages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    d = d.select("id", tx.words(tx.cjk_tokens(tx.bounded_index_text(F.col("text")))).alias("w"))
     d = d.select("id", F.size("w").alias("dl"), *[_times(t).alias(f"tf{i}") for i, t in enumerate(terms)], *[_phrase_in(F.col("w"), p).alias(f"ph{i}") for i, p in enumerate(phrases)])
     stats = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("dl").cast("double")).alias("adl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     hit = d.where(" AND ".join([f"tf{i} > 0" for i in range(len(terms))] + [f"ph{i}" for i in range(len(phrases))])).join(F.broadcast(stats))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.zones import interval_table
+from weftline.session import spread
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 #: Locales that write the month before the day; all others write the day first.
@@ -86,6 +87,7 @@ def normalise(
     """
     spark = df.sparkSession
     own = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(text_col).alias("_text"), F.col(install_col).alias("_install"))
+    own = spread(own)
     inst = installations.select(F.col("install_id").alias("_install"), "tz_name", "locale_tag").dropDuplicates(["_install"])
     d = parse(own, "_text").join(F.broadcast(inst), "_install", "left")
     f = [F.get("_f", F.lit(i)) for i in range(11)]

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from weftline.functions import text as tx
 from weftline.operators import filters, index, ranking, semantic
 from weftline.operators.redact import embedded
-from weftline.session import table
+from weftline.session import spread, table
 
 QUERY = "rate limit"
 PHRASE = "retry.py"
@@ -169,7 +169,7 @@ def redact_text(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "message_rows").where("msg_content IS NOT NULL AND msg_uuid IS NOT NULL")
     key = F.regexp_replace("msg_uuid", "[^0-9a-fA-F]", "")
     t = F.when(F.col("row_id") % 3 == 0, F.concat("msg_content", F.lit(" key sk-"), key, F.lit(" end"))).when(F.col("row_id") % 3 == 1, F.concat("msg_content", F.lit(" token = \""), key, F.lit("\""))).otherwise(F.concat(F.lit("use AKIA"), F.upper(F.left(key, F.lit(16))), F.lit(", Bearer "), key, F.lit(" ok")))
-    return m.select("row_id", F.md5(embedded(t)).alias("redacted"))
+    return spread(m.select("row_id", t.alias("t"))).select("row_id", F.md5(embedded(F.col("t"))).alias("redacted"))
 
 
 def recall_at_10(spark: SparkSession, d: str) -> DataFrame:

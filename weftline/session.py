@@ -46,3 +46,16 @@ def parts(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; Catalyst prunes its columns at the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs of few splits: a plain scan with fewer partitions than cores is dealt out evenly.
+
+    Inputs of a cluster's size have more splits than cores and stay as they are; so does anything that already
+    holds an exchange. Rows and results are the same either way; only whole small files move.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
