@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.crf import Crf
 from weftline.llm.pii_labels import labelled_table
+from weftline.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -346,7 +347,7 @@ def find(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", p
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(kinds, pa.string()), pa.array(surfaces, pa.string())], names=["row_id", "pii_kind", "surface"])
 
     src = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "row_id bigint, pii_kind string, surface string")
+    return spread(src).mapInArrow(run, "row_id bigint, pii_kind string, surface string")
 
 
 def redact(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", per_pattern: int = 24) -> DataFrame:
@@ -364,4 +365,4 @@ def redact(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content",
                 n.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["row_id", "redacted", "n_found"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text")).mapInArrow(run, "row_id bigint, redacted string, n_found int")
+    return spread(df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))).mapInArrow(run, "row_id bigint, redacted string, n_found int")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 HAN = "㐀-䶿一-鿿豈-﫿"
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _LOG = re.compile(r"^\s*(?:\[?\d{1,2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|(?:ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b)")
@@ -128,7 +130,7 @@ def levels(docs: DataFrame, samples: DataFrame, least_units: int = 12, least_pro
             cols = [b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "reading_level", "p_demanding", "n_units"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, reading_level int, p_demanding double, n_units int")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))).mapInArrow(run, "doc_id bigint, reading_level int, p_demanding double, n_units int")
 
 
 def demanding(docs: DataFrame, samples: DataFrame, at_least: int = 4, **kw) -> DataFrame:

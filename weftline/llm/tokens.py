@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,4 +36,4 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: t
             n = [None if t is None else len(enc.encode_ordinary(t)) for t in b["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in (id_col, *keep)), pa.array(n, pa.int64())], names=[id_col, *keep, "n_tokens"])
 
-    return df.select(F.col(id_col).cast("bigint").alias(id_col), *[F.col(k).cast("string").alias(k) for k in keep], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col).cast("bigint").alias(id_col), *[F.col(k).cast("string").alias(k) for k in keep], F.col(text_col).alias("_text"))).mapInArrow(run, schema)
