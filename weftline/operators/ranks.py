@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import parts
 
-def numbered(df: DataFrame, groups: list[str], key: str, name: str = "rank", salts: int = 64) -> DataFrame:
+
+def numbered(df: DataFrame, groups: list[str], key: str, name: str = "rank", salts: int | None = None) -> DataFrame:
     """Add ``name``: 0-based numbers that are dense and unique inside each group, in the order of a hash salt and then ``key``.
 
-    A group is cut into ``salts`` slices by a hash of ``key``; each slice is numbered by itself and starts where the
+    A group is cut into ``salts`` slices (by default twice the shuffle partitions, at least 64) by a hash of ``key``; each slice is numbered by itself and starts where the
     slices before it end. The join of the slice starts uses the partitioning of the numbering, so rows move once.
     ``key`` should be unique; rows with equal keys get different numbers in no fixed order.
     """
+    salts = salts or max(64, 2 * parts(df.sparkSession))
     d = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     slices = d.groupBy(*groups, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

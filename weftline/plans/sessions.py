@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from weftline.functions import ids, instant, tools
 from weftline.functions import text as tx
 from weftline.operators import aggregates, canonical, flatten, graph, handoff, lookups, maintenance, paging, reconcile
 from weftline.plans.search import M_SQL, messages
-from weftline.session import table
+from weftline.session import scratch, table
 from weftline.streaming import streams
 
 _ORD = "l_orderkey"
@@ -278,17 +277,17 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.run_once(streams.tumbling(_stream(spark, d), "1 hour", ["event_type"]), f"tumbling_{abs(hash(d))}", "complete", tempfile.mkdtemp())
+    out = streams.run_once(streams.tumbling(_stream(spark, d), "1 hour", ["event_type"]), f"tumbling_{abs(hash(d))}", "complete", scratch(spark))
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.run_once(streams.sliding(_stream(spark, d), "2 hours", "1 hour", ["event_type"]), f"sliding_{abs(hash(d))}", "complete", tempfile.mkdtemp())
+    out = streams.run_once(streams.sliding(_stream(spark, d), "2 hours", "1 hour", ["event_type"]), f"sliding_{abs(hash(d))}", "complete", scratch(spark))
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.run_once(streams.sessions(_stream(spark, d), "30 minutes", "user_id"), f"sessions_{abs(hash(d))}", "complete", tempfile.mkdtemp())
+    out = streams.run_once(streams.sessions(_stream(spark, d), "30 minutes", "user_id"), f"sessions_{abs(hash(d))}", "complete", scratch(spark))
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

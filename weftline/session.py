@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: under ``spark.checkpoint.dir``, or a local one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/weftline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weftline-")
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for; grows with the cluster, not with the code."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
