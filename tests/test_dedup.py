@@ -29,7 +29,9 @@ def test_one_row_of_each_message(spark):
         if k in best:
             lost.add(row[0])
         best.setdefault(k, row[0])
+    rows.append((None, "not-a-uuid", "s2", None, None, None))
     df = spark.createDataFrame(rows, SCHEMA)
+    lost.add(None)
     assert {x.row_id for x in dedup.repeated(df).collect()} == lost
     assert dedup.unique(df).count() == len(rows) - len(lost)
 

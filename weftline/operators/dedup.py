@@ -8,7 +8,8 @@ evenly over the shards; only ids, times and row numbers are shuffled, never mess
 
 Defined results: rows with a null or blank session_id or msg_uuid are never dropped; ids that are not 32
 hexadecimal digits in some usual spelling are compared as trimmed lower-case text in the same tables; of equal
-messages the earliest ``received_at`` stays (null last), among equals the smallest ``row_id``.
+messages the earliest ``received_at`` stays (null last), among equals the smallest ``row_id`` (null last; a dropped row
+without a row_id comes out as null).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from weftline.session import parts
 
 _ROUNDS = (11, 23, 37, 53)
+_LAST = 2**63 - 1
 _UUID = r"^(?:urn:uuid:)?[{(\[]?[0-9a-f]{8}-?(?:[0-9a-f]{4}-?){3}[0-9a-f]{12}[})\]]?$"
 
 
@@ -67,7 +69,7 @@ def repeated(df: DataFrame, row_col: str = "row_id", id_col: str = "msg_uuid", s
     digits = hex_id(F.col(id_col))
     text = F.lower(F.trim(F.col(id_col)))
     known = (F.coalesce(F.trim(F.col(session_col)), F.lit("")) != "") & (F.coalesce(text, F.lit("")) != "")
-    d = df.where(known).select(F.col(row_col).cast("bigint").alias("row_id"), F.col(session_col).alias("session"), F.coalesce(F.unix_micros(F.col(received_col).cast("timestamp")), F.lit(2**63 - 1)).alias("received"), digits.alias("digits"), F.when(digits.isNull(), text).alias("other"))
+    d = df.where(known).select(F.coalesce(F.col(row_col).cast("bigint"), F.lit(_LAST)).alias("row_id"), F.col(session_col).alias("session"), F.coalesce(F.unix_micros(F.col(received_col).cast("timestamp")), F.lit(_LAST)).alias("received"), digits.alias("digits"), F.when(digits.isNull(), text).alias("other"))
     # ids of another shape get halves from their text and are told apart by the text itself
     width = F.coalesce(F.col("digits"), F.substring(F.sha2("other", 256), 1, 32))
     hi, lo = permuted(width)
@@ -98,7 +100,7 @@ def repeated(df: DataFrame, row_col: str = "row_id", id_col: str = "msg_uuid", s
         if wait:
             yield insert()
 
-    return d.mapInArrow(run, "row_id bigint")
+    return d.mapInArrow(run, "row_id bigint").select(F.nullif("row_id", F.lit(_LAST)).alias("row_id"))
 
 
 def unique(df: DataFrame, **names: str) -> DataFrame:
