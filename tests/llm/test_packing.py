@@ -31,7 +31,7 @@ def test_close_to_the_least_number_of_containers():
 
 def test_pack(spark):
     texts = ["word " * n for n in (3, 30, 300, 7, 7, 7, 100, 250)] + ["", None, "a", "a"]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, plan_id int")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "lost id", 1)], "doc_id bigint, text string, plan_id int")
     plans = spark.createDataFrame([(1, "small", 64), (2, "large", 256), (3, "none", None)], "plan_id bigint, plan_label string, capacity_tokens bigint")
     size = {r.doc_id: r.n_tokens for r in tokens.sized(docs).collect()}
     rows = packing.pack(docs, plans).collect()

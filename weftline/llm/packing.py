@@ -19,7 +19,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,26 +128,20 @@ def pack(docs: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             if not b.num_rows:
                 continue
-            d = pa.Table.from_batches([b]).to_pandas()
-            out = []
-            for p, g in d.groupby("plan_id", sort=False):
-                t = box.value[p]
-                key = g["size"].to_numpy() << 40 | g["rank"].to_numpy()
+            plan, size, rank = (b[c].to_numpy() for c in ("plan_id", "size", "rank"))
+            for p in np.unique(plan):
+                at = np.flatnonzero(plan == p)
+                rows, t = b.take(pa.array(at)), box.value[int(p)]
+                key = size[at] << 40 | rank[at]
                 i = np.searchsorted(t["key"], key, "right") - 1
                 off = key - t["key"][i]
                 nth = off // t["times"][i]
                 deal = t["dealt"][i] + nth
                 groups = -(-int(t["total"][0]) // GROUP)
                 lap, col = deal // groups, deal % groups
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "plan_id": p, "container_id": t["first"][i] + nth, "step_group": np.where(lap % 2 == 0, col, groups - 1 - col), "doc_id": g["doc_id"], "piece_no": g["piece_no"],
-                            "start_token": g["start_token"], "n_tokens": g["size"], "container_offset": t["offset"][i] + off % t["times"][i] * g["size"].to_numpy(), "tier": t["tier"][i],
-                        }
-                    )
-                )
-            yield pa.RecordBatch.from_pandas(pd.concat(out).astype({"piece_no": "int32"}), preserve_index=False)
+                step = np.where(lap % 2 == 0, col, groups - 1 - col)
+                cols = [rows["plan_id"], pa.array(t["first"][i] + nth), pa.array(step), rows["doc_id"], rows["piece_no"], rows["start_token"], rows["size"], pa.array(t["offset"][i] + off % t["times"][i] * size[at]), pa.array(t["tier"][i])]
+                yield pa.RecordBatch.from_arrays(cols, names=["plan_id", "container_id", "step_group", "doc_id", "piece_no", "start_token", "n_tokens", "container_offset", "tier"])
 
     return ranked.select("plan_id", "doc_id", "piece_no", "start_token", "size", "rank").mapInArrow(run, schema)
 
