@@ -10,7 +10,7 @@ from weftline.session import table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.conversations(table(spark, d, "chat_rows"), honour_sent_at=True).select("session_id", "turn_no", "msg_uuid")
+    return conversations.conversations(table(spark, d, "chat_rows")).select("session_id", "turn_no", "msg_uuid")
 
 
 def p3_clocks(spark: SparkSession, d: str) -> DataFrame:
