@@ -33,7 +33,7 @@ def test_one_row_of_each_message(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     lost.add(None)
     assert {x.row_id for x in dedup.repeated(df).collect()} == lost
-    assert dedup.unique(df).count() == len(rows) - len(lost)
+    assert dedup.unique(df).count() == len(rows) - len(lost - {None})  # rows without a number cannot be told apart and stay
 
 
 def test_permutation_loses_nothing(spark):
