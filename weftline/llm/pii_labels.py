@@ -97,6 +97,11 @@ please forward this to {e} today
 der neue Kontakt ist unter {t}. {f} bleibt offen
 mail {e} and copy {e}. no
 {p} and {p} agreed on {o}
+{p}, {w}: {i}.
+{w}: {i}
+{w}: {i}, bitte löschen
+{zp}说{t}打不通，换邮箱 {e}。yes
+ok {zp}说{t}打不通
 shipped to {a}. retry
 you can reach {p} at {t} or {e}
 Meine Adresse ist {a}, bitte dorthin schicken.
