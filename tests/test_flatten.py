@@ -86,3 +86,79 @@ def test_records_and_texts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "line_id bigint, raw_json string")
     assert flatten.blocks(df).count() == 0 and flatten.records(df).count() == 0
+
+
+KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+
+def brute_members(text):
+    """Rows (block_path, member_path, parent_path, name, kind, value), or none of a text that is no whole record."""
+    try:
+        rec = json.loads(text.strip(flatten.MARGIN), parse_constant=lambda x: 1 / 0, parse_int=Num, parse_float=Num)
+    except Exception:
+        return []
+    out = []
+
+    def show(block, path, up, name, v):
+        kind = "number" if isinstance(v, Num) else KINDS[type(v)]
+        out.append((block, path, up, name, kind, None if kind in ("object", "array", "null") else v.s if isinstance(v, Num) else v if kind == "string" else str(v).lower()))
+
+    def one(block, path, up, name, v, holds, listed=False):
+        """holds: its content is blocks; listed: its elements are blocks."""
+        show(block, path, up, name, v)
+        below(block, path, v, holds, listed)
+
+    def a_block(path, v):
+        if not isinstance(v, dict):
+            show(path, "", None, None, v)
+        below(path, "", v, isinstance(v, dict), False)
+
+    def below(block, path, v, holds, listed):
+        sub = lambda i: str(i) if block is None else f"{block}.{i}"
+        if isinstance(v, list):
+            for i, x in enumerate(v):
+                if listed and x is not None:
+                    a_block(sub(i), x)
+                else:
+                    one(block, f"{path}/{i}", path, str(i), x, False)
+        elif isinstance(v, dict):
+            for k, x in v.items():
+                p = f"{path}/{k.replace('~', '~0').replace('/', '~1')}"
+                if holds and k == "content" and isinstance(x, (str, dict)):
+                    a_block(sub(0), x)
+                else:
+                    top = block is None and path == "" and k == "message" and isinstance(x, dict)
+                    one(block, p, path, k, x, top, holds and k == "content" and isinstance(x, list))
+
+    if isinstance(rec, dict):
+        below(None, "", rec, False, False)
+    return out
+
+
+class Num:
+    def __init__(self, s):
+        self.s = s
+
+
+MEMBERS = [
+    '{"type":"assistant","isSidechain":true,"toolUseResult":{"stdout":"x","files":[{"p":"a/b~c","n":1.50}],"e":{},"l":[]},"message":{"role":"r","usage":{"in":12,"cache":{"a/b":null}},"content":[{"type":"tool_use","input":{"content":["no"],"edits":[{"old":"a"}]},"citations":[{"u":[1,[2,{"k":false}]]}],"is_error":false},null,[1,{"content":"not a block"}],7]}}',
+    '{"summary":"s","summary":"last","message":{"content":{"source":{"data":"\\u00e9"},"content":{"content":["z",null,{"a":{"b":1},"a":{"c":2}}]}}}}',
+    '{"a":{"message":{"content":["no"]}},"message":{"content":5,"x":{"content":["no"]}}}', '{"":{"":[]},"message":[{"content":"no"}]}', "{}",
+]
+
+
+def test_members_hold_everything(spark):
+    texts = [*MEMBERS, *HAND, *damaged(3, 400), None]
+    got = {}
+    for r in flatten.members(spark.createDataFrame(list(enumerate(texts)), "line_id bigint, raw_json string")).collect():
+        got.setdefault(r[0], []).append(tuple(r)[1:])
+    key = lambda t: tuple((x is not None, x or "") for x in t)
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, []), key=key) == sorted(brute_members(t) if t else [], key=key), t
+
+
+def test_scalars_of_any_kind_are_columns(spark):
+    df = spark.createDataFrame([(1, '{"type":"user","isSidechain":true,"summary":"s","leafUuid":"l","message":{"content":[{"is_error":false,"signature":"g","title":"t","id":5,"name":{"x":1}}]}}')], "line_id bigint, raw_json string")
+    r, b = flatten.records(df).first(), flatten.blocks(df).first()
+    assert (r.isSidechain, r.summary, r.leafUuid) == ("true", "s", "l")
+    assert (b.block_is_error, b.block_signature, b.block_title, b.block_id, b.block_name) == ("false", "g", "t", "5", None)

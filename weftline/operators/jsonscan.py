@@ -129,6 +129,28 @@ class Tape:
         flat = np.repeat(first - off[:-1], size) + np.arange(off[-1])
         return pa.ListArray.from_arrays(pa.array(off), pa.array(kids[flat] if len(kids) else np.zeros(0, np.int64)))
 
+    def children(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Value tokens inside the containers of valid rows, sorted by container, with container and name.
+
+        The name is the decoded member name in an object (of repeated names only the last stays), the position in an array.
+        """
+        kids = np.flatnonzero(self.value & (self.parent >= 0) & self.valid[self.row])
+        held = self.char[self.parent[kids]] == 123
+        members = kids[held]
+        names = self.text(members - 2)  # name, colon, value
+        code = names.dictionary_encode().indices.to_numpy().astype(np.int64)
+        order = np.lexsort((members, code, self.parent[members]))
+        last = np.ones(len(order), bool)
+        if len(order):
+            a, b = order[:-1], order[1:]
+            last[:-1] = (self.parent[members[a]] != self.parent[members[b]]) | (code[a] != code[b])
+        stay = np.sort(order[last])
+        items = kids[~held]
+        toks = np.concatenate([members[stay], items])
+        label = pa.concat_arrays([names.take(pa.array(stay)), pc.cast(pa.array(self.rank[items]), pa.large_string())])
+        by = np.lexsort((toks, self.parent[toks]))
+        return toks[by], self.parent[toks[by]], label.take(pa.array(by))
+
 
 def scan(col: pa.Array) -> Tape:
     """Tokenise, nest and validate every text of the column."""

@@ -25,6 +25,10 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return flatten.records(table(spark, d, "raw_transcripts"))
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.members(table(spark, d, "raw_transcripts"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.restated(table(spark, d, "message_rows"), table(spark, d, "installations"))
 
@@ -65,7 +69,7 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "export_lines"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p2_found, p2_normalised, p4_found, p4_tree, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_members, p2_found, p2_normalised, p4_found, p4_tree, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
 
 _UUID_SQL = r"""CASE WHEN regexp_full_match(lower(trim(msg_uuid)), '(urn:uuid:)?\{?[0-9a-f]{8}-?([0-9a-f]{4}-?){3}[0-9a-f]{12}\}?')
  THEN regexp_replace(regexp_replace(lower(trim(msg_uuid)), '^urn:uuid:', ''), '[^0-9a-f]', '', 'g') ELSE lower(trim(msg_uuid)) END"""
