@@ -69,6 +69,26 @@ def test_descendants_and_sizes(spark):
     assert {tuple(r) for r in hierarchy.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_descendants_of_the_query_against_brute_force(spark, tmp_path):
+    from weftline.plans import problems
+
+    t0 = datetime(2026, 1, 1)
+    chain = [(9000 + i, f"c{i}", f"C{i - 1}" if i else None, "s", False, t0 + timedelta(hours=5 * i), "") for i in range(300)]
+    rows = [r for r in random_links(4) if r[1]] + chain
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/message_links.parquet")
+    up = {}
+    for r in sorted(rows, key=lambda r: (r[5] is not None, r[5] or datetime.min, r[0])):
+        up[r[1].lower()] = (r[2] or "").lower()
+    want = []
+    for x, (_, depth) in brute(rows).items():
+        at = x
+        for k in range(1, depth + 1):
+            at = up[at]
+            want.append((at, x, k))
+    got = [tuple(r) for r in problems.p4_descendants(spark, str(tmp_path)).select("ancestor_uuid", "descendant_uuid", "distance").collect()]
+    assert sorted(got) == sorted(want) and ("c0", "c299", 299) in want
+
+
 def test_empty(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
 

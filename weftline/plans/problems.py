@@ -46,6 +46,11 @@ def p4_tree(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(hierarchy.subtree_sizes(tree), "msg_uuid", "left")
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every message under every other one, with the number of steps between them."""
+    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "message_links"), with_path=True))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.repeated(table(spark, d, "message_rows"))
 
@@ -69,7 +74,7 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "export_lines"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_members, p2_found, p2_normalised, p4_found, p4_tree, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_members, p2_found, p2_normalised, p4_found, p4_tree, p4_descendants, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
 
 _UUID_SQL = r"""CASE WHEN regexp_full_match(lower(trim(msg_uuid)), '(urn:uuid:)?\{?[0-9a-f]{8}-?([0-9a-f]{4}-?){3}[0-9a-f]{12}\}?')
  THEN regexp_replace(regexp_replace(lower(trim(msg_uuid)), '^urn:uuid:', ''), '[^0-9a-f]', '', 'g') ELSE lower(trim(msg_uuid)) END"""
@@ -84,6 +89,10 @@ t AS (
 
 ORACLES: dict[str, str] = {
     "p4_found": _LINKS_SQL + "SELECT msg_uuid, root_uuid, node_depth FROM t UNION ALL SELECT id, '', -1 FROM cur WHERE id NOT IN (SELECT msg_uuid FROM t)",
+    "p4_descendants": _LINKS_SQL + """, u AS (
+ SELECT c.parent AS ancestor_uuid, c.id AS descendant_uuid, CAST(1 AS BIGINT) AS distance FROM cur c JOIN t ON c.id = t.msg_uuid WHERE t.node_depth > 0
+ UNION ALL SELECT t.parent, u.descendant_uuid, u.distance + 1 FROM u JOIN (SELECT c.id, c.parent FROM cur c JOIN t ON c.id = t.msg_uuid WHERE t.node_depth > 0) t ON u.ancestor_uuid = t.id)
+SELECT ancestor_uuid, descendant_uuid, distance FROM u""",
     "p5_found": f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY session_id, {_UUID_SQL} ORDER BY received_at, row_id) AS rn
  FROM message_rows WHERE coalesce(trim(session_id), '') <> '' AND coalesce(trim(msg_uuid), '') <> '') WHERE rn > 1""",
     "p5_sessions": f"""SELECT session_id, count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(lost, false)) AS n_kept FROM (
