@@ -132,3 +132,25 @@ def test_cursors():
     with pytest.raises(ValueError):
         paging.Budget(max_bytes=100)
     assert paging.rank_window(True, False, 900, 20) == 512 and paging.rank_window(False, False, 40, 20) == 61 and paging.rank_window(True, True, 0, 20) == 8192
+
+
+def test_every_message_has_its_vector(spark, monkeypatch):
+    from weftline.operators import semantic
+    from weftline.plans import search
+
+    monkeypatch.setattr(semantic, "CHARS", 500)
+    texts = [(1, "Aa aa é界\U0001f600"), (2, "x"), (3, " "), (4, None), (5, ""), (6, "\u3000\xa0"), (7, "\n\n"), (8, "\u200b")] + [(10 + i, "w%d " % i * (i + 1)) for i in range(60)]
+    df = spark.createDataFrame(texts, "id bigint, text string").coalesce(1)
+    for prefix in ("passage: ", ""):
+        want = {i: semantic.query_vector(t, prefix=prefix) for i, t in texts if t and t.strip()}
+        dense = {r.id: r.embedding for r in semantic.dense_vectors(df, prefix=prefix).collect()}
+        sparse = {i: [0.0] * semantic.DIM for i in want}
+        for r in semantic.bigram_buckets(df, prefix=prefix).collect():
+            assert sparse[r.id][r.bucket] == 0
+            sparse[r.id][r.bucket] = r.weight
+        assert set(dense) == set(want)
+        for i in want:
+            assert max(abs(a - b) for a, b in zip(want[i], sparse[i])) < 1e-12 and max(abs(a - b) for a, b in zip(want[i], dense[i])) < 1e-6
+    sf = "/root/testdata/sf0.001"
+    n = search.messages(spark, sf).where(F.col("text").rlike(r"\P{IsWhite_Space}")).count()
+    assert n == search.message_vectors(spark, sf).count() == search.bigram_messages(spark, sf).select("id").distinct().count()

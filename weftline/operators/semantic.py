@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import spread
+
 DIM = 384
 FLOOR = 0.2
 
@@ -72,29 +77,75 @@ def topk_each(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedd
     return near.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", F.col("b.id").alias("id"), (F.col("p") + 1).alias("rank"), (-F.col("b.n")).alias("sim"))
 
 
+#: Second half of the pair of a text that has one character only; no code point.
+_ALONE = (1 << 21) - 1
+#: Characters hashed in one numpy pass.
+CHARS = 2_000_000
+
+
+def _bigram_vectors(texts: DataFrame, id_col: str, text_col: str, prefix: str, dim: int, dense: bool) -> DataFrame:
+    """One vector for each row with a text that isn't blank (white space of any script), made where the row lies: nothing is shuffled. Ids are those of rows."""
+    t = F.lower(F.concat(F.lit(prefix), F.col(text_col)))
+    rows = spread(texts.where(F.col(text_col).rlike(r"\P{IsWhite_Space}")).select(F.col(id_col).alias("id"), t.alias("t")))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, embedding array<float>" if dense else f"id {kind}, bucket int, weight double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
+
+        def bucket_of(pair: int) -> int:
+            if pair not in known:
+                g = chr(pair >> 21) + (chr(pair & _ALONE) if pair & _ALONE != _ALONE else "")
+                known[pair] = int(hashlib.sha256(g.encode()).hexdigest()[:8], 16) % dim
+            return known[pair]
+
+        for batch in batches:
+            size = pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64)
+            ends = np.flatnonzero(np.diff(np.cumsum(size) // CHARS)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(size)]):
+                n = size[lo:hi]
+                if not len(n):
+                    continue
+                code = np.frombuffer("".join(batch.column(1).slice(lo, hi - lo).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                first = np.cumsum(n) - n
+                follow = np.append(code[1:], _ALONE)
+                last = first + n - 1
+                follow[last] = _ALONE
+                pair = code << 21 | follow
+                real = np.ones(len(code), bool)
+                real[last[n > 1]] = False  # a text of one character is its own pair
+                pairs, at = np.unique(pair[real], return_inverse=True)
+                bucket = np.array([bucket_of(p) for p in pairs.tolist()], np.int64)[at]
+                cell, w = np.unique(row[real] * dim + bucket, return_counts=True)
+                owner, w = cell // dim, w.astype(float)
+                weight = w / np.sqrt(np.bincount(owner, w * w, len(n)))[owner]
+                ids = batch.column(0).slice(lo, hi - lo)
+                if dense:
+                    for k in range(0, len(n), 1000):
+                        here = (owner >= k) & (owner < k + 1000)
+                        full = np.zeros((min(1000, len(n) - k), dim), np.float32)
+                        full[owner[here] - k, cell[here] % dim] = weight[here]
+                        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * dim), pa.array(full.ravel()))
+                        yield pa.RecordBatch.from_arrays([ids.slice(k, len(full)), vec], names=["id", "embedding"])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array((cell % dim).astype(np.int32)), pa.array(weight)], names=["id", "bucket", "weight"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def bigram_buckets(texts: DataFrame, id_col: str = "id", text_col: str = "text", prefix: str = "passage: ", dim: int = DIM) -> DataFrame:
     """(id, bucket, weight): counts of hashed character pairs, L2-normalised; the sparse form of the vector."""
-    t = F.lower(F.concat(F.lit(prefix), F.col(text_col)))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    one = texts.where(F.col(text_col).isNotNull() & (F.trim(text_col) != "")).select(F.col(id_col).alias("id"), F.explode(grams).alias("g"))
-    counted = one.groupBy("id", "g").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.pmod(F.conv(F.left(F.sha2("g", 256), F.lit(8)), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    w = counted.groupBy("id", bucket.alias("bucket")).agg(F.sum("n").cast("double").alias("w"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+    return _bigram_vectors(texts, id_col, text_col, prefix, dim, False)
 
 
 def dense_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text", prefix: str = "passage: ", dim: int = DIM, model_id: str = "bigram-hash-v1") -> DataFrame:
-    """(model_id, id, embedding) from the sparse form: the table a vector index is built from."""
-    s = bigram_buckets(texts, id_col, text_col, prefix, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return s.select(F.lit(model_id).alias("model_id"), "id", vec.alias("embedding"))
+    """(model_id, id, embedding) of the same vectors: the table a vector index is built from."""
+    return _bigram_vectors(texts, id_col, text_col, prefix, dim, True).select(F.lit(model_id).alias("model_id"), "id", "embedding")
 
 
 def query_vector(text: str, dim: int = DIM, prefix: str = "query: ") -> list[float]:
     """The driver-side twin of :func:`bigram_buckets` for one query text."""
-    import hashlib
-
     t = (prefix + text).lower()
     v = np.zeros(dim)
     for i in range(max(len(t) - 1, 1)):

@@ -123,6 +123,16 @@ def bigram_vector(spark: SparkSession, d: str) -> DataFrame:
     return semantic.bigram_buckets(g).select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+def bigram_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of all messages in sparse form."""
+    return semantic.bigram_buckets(messages(spark, d)).select("id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def message_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the form a vector index is built from."""
+    return semantic.dense_vectors(messages(spark, d))
+
+
 def filter_provider_time(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "message_rows").select("row_id", "session_id", "msg_role", F.col("received_at").cast("timestamp").alias("ts"))
     s = table(spark, d, "session_catalog").select("session_id", "provider_id", "repo_slug")
@@ -203,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_frequency, search_lexical_and, search_postings, search_phrase_adjacent, search_top_page, search_capped_projection, search_group_by_session, search_rank_signals, search_session_metadata, rrf_fusion, semantic_topk,
-        semantic_floor, semantic_each, hybrid_search, bigram_vector, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, recall_at_10,
+        semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, recall_at_10,
         budget_prefix, list_page, handoff_evidence,
     )
 }
@@ -259,6 +269,10 @@ a AS {_RL[0].format('s')}, b AS {_RL[0].format('v')} SELECT id, round(coalesce(0
     "bigram_vector": """WITH t AS (SELECT sample_id AS id, lower('passage: ' || sample_text) AS t FROM graded_samples WHERE trim(sample_text) <> ''),
 g AS (SELECT id, unnest(list_transform(range(1, greatest(length(t), 2)), lambda i: substring(t, i, 2))) AS g FROM t),
 b AS (SELECT id, CAST(('0x' || left(sha256(g), 8))::BIGINT % 384 AS INT) AS bucket, count(*)::DOUBLE AS w FROM g GROUP BY ALL)
+SELECT id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM b""",
+    "bigram_messages": rf"""WITH {M_SQL}, t AS (SELECT id, lower('passage: ' || text) AS t FROM m WHERE regexp_matches(text, '[^\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]')),
+g AS (SELECT id, unnest(list_transform(range(1, greatest(length(t), 2)), lambda i: substring(t, i, 2))) AS g FROM t),
+b AS (SELECT id, CAST(('0x' || left(sha256(g), 8))::BIGINT % 384 AS INT) AS bucket, count(*)::DOUBLE AS w FROM g GROUP BY ALL)
 SELECT id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM b""",
     "filter_provider_time": """SELECT row_id FROM message_rows WHERE session_id IN (SELECT session_id FROM session_catalog WHERE provider_id IN ('claude-code', 'codex'))
  AND received_at >= TIMESTAMP '2026-01-01' AND received_at < TIMESTAMP '2026-07-01' AND coalesce(lower(msg_role) NOT IN ('system', 'developer'), true)""",
