@@ -182,6 +182,14 @@ def redact_text(spark: SparkSession, d: str) -> DataFrame:
     return spread(m.select("row_id", t.alias("t"))).select("row_id", F.md5(embedded(F.col("t"))).alias("redacted"))
 
 
+def redact_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every message whole, with one credential of each planted shape after it, through the redactor."""
+    m = table(spark, d, "message_rows").where("msg_content IS NOT NULL AND msg_uuid IS NOT NULL")
+    key = F.regexp_replace("msg_uuid", "[^0-9a-fA-F]", "")
+    t = F.concat("msg_content", F.lit(" key sk-"), key, F.lit(" end, use AKIA"), F.upper(F.left(key, F.lit(16))), F.lit(", Bearer "), key, F.lit(" ok"))
+    return spread(m.select("row_id", t.alias("t"))).select("row_id", F.md5(embedded(F.col("t"))).alias("redacted"))
+
+
 def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
     """Share of the ten nearest that carry the query's own label, for each label."""
     e = table(spark, d, "embeddings")
@@ -213,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_frequency, search_lexical_and, search_postings, search_phrase_adjacent, search_top_page, search_capped_projection, search_group_by_session, search_rank_signals, search_session_metadata, rrf_fusion, semantic_topk,
-        semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, recall_at_10,
+        semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, redact_messages, recall_at_10,
         budget_prefix, list_page, handoff_evidence,
     )
 }
@@ -290,6 +298,7 @@ SELECT id, substring(text, s - l + 1, l + 5 + r) AS snippet FROM w""",
     "list_page": "SELECT session_id, provider_id FROM session_catalog ORDER BY session_id LIMIT 50 OFFSET 100",
     "redact_text": r"""WITH t AS (SELECT row_id, regexp_replace(msg_uuid, '[^0-9a-fA-F]', '', 'g') AS k, msg_content AS c FROM message_rows WHERE msg_content IS NOT NULL AND msg_uuid IS NOT NULL)
 SELECT row_id, md5(CASE row_id % 3 WHEN 0 THEN c || ' key [REDACTED] end' WHEN 1 THEN c || ' token = "' || k || '"' ELSE 'use [REDACTED], Bearer [REDACTED] ok' END) AS redacted FROM t""",
+    "redact_messages": "SELECT row_id, md5(msg_content || ' key [REDACTED] end, use [REDACTED], Bearer [REDACTED] ok') AS redacted FROM message_rows WHERE msg_content IS NOT NULL AND msg_uuid IS NOT NULL",
     "handoff_evidence": rf"""WITH {_DOCS}, {_bm25_sql('docs', PROSE)}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY score DESC, id LIMIT 50),
 e AS (SELECT r.id, r.rank, (length(text) - length(regexp_replace(text, '[{_H}]', '', 'g')) + ceil(octet_length(encode(regexp_replace(text, '[{_H}]', '', 'g'))) / 4.0::DOUBLE))::BIGINT AS tokens FROM r JOIN docs USING (id) WHERE trim(text) <> '' AND rank <= 20),
 u AS (SELECT *, sum(tokens) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used_tokens FROM e) SELECT id, rank, tokens, used_tokens FROM u WHERE used_tokens <= 4000""",
