@@ -44,5 +44,15 @@ def test_unified(spark):
     assert got == {"u": ("2023-11-14 22:13:20", True, None), "v": ("2026-01-01 00:00:00", False, 7)}
 
 
+def test_unified_keeps_what_no_column_holds(spark):
+    import json
+
+    texts = ['{"type":"u","kind":"v","isSidechain":"maybe","costUsd":1.5,"new":{"deep":1.50,"a.b":"q","n":null},"message":{"content":{"lang":"en","text":"x"}},"list":[1.0,{"k":false}]}', '{"type":"u"}']
+    got = {r.line_id: r for r in drift.unified(frame(spark, {1: texts})).collect()}
+    assert (got[0].type, got[0].message_content, got[0].isSidechain) == ("v", "x", None)
+    assert json.loads(got[0].rest) == {"type": "u", "isSidechain": "maybe", "new.deep": "1.50", r"new.a\.b": "q", "message.content.lang": "en", "list": '[1.0,{"k":false}]'}
+    assert got[1].rest is None
+
+
 def test_empty(spark):
     assert drift.changes(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -15,6 +15,7 @@ export has no say in the order of files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -153,14 +154,64 @@ def _json_path(path: str) -> str:
     return "$" + "".join(f"['{p}']" for p in path.split("."))
 
 
+class _Raw(str):
+    """A number as it is written."""
+
+
+def _dump(v) -> str:
+    if isinstance(v, list):
+        return "[" + ",".join(map(_dump, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(x)}" for k, x in v.items()) + "}"
+    return v if isinstance(v, _Raw) else json.dumps(v, ensure_ascii=False)
+
+
+def _left_over(text: str, known: list[list[tuple[str, ...]]]) -> list[dict[str, str]]:
+    """Fields of a record that give no column its value: unknown ones, and names of a column that another name goes before."""
+    leaves: dict[tuple[str, ...], object] = {}
+    record = json.loads(text, strict=False, parse_int=_Raw, parse_float=_Raw)
+    stack: list[tuple[tuple[str, ...], dict]] = [((), record)]
+    while stack:
+        steps, held = stack.pop()
+        for k, v in held.items():
+            if isinstance(v, dict):
+                stack.append(((*steps, k), v))
+            elif v is not None:
+                leaves[*steps, k] = v
+
+    def there(steps: tuple[str, ...]) -> bool:
+        at = record
+        for k in steps:
+            at = at.get(k) if isinstance(at, dict) else None
+        return at is not None
+
+    for names in known:
+        leaves.pop(next((n for n in names if there(n)), ()), None)
+    fix = lambda x: x.encode("utf-8", "replace").decode()
+    return [{"path": fix(".".join(k.replace("\\", "\\\\").replace(".", "\\.") for k in steps)), "value": fix(v if isinstance(v, str) else _dump(v))} for steps, v in sorted(leaves.items())]
+
+
 def unified(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tuple[str, ...]] = ALIASES, casts: Mapping[str, str] = CASTS) -> DataFrame:
     """Every whole record read into one table: a column per canonical field (dots written as underscores), found under
-    any of its names and cast to one type; values that do not fit give null."""
+    any of its names and cast to one type; values that do not fit give null. ``rest`` is a JSON object, from path to
+    text, of all that the columns don't hold: unknown fields, second values of a column, values that do not fit; dots
+    inside a name are written ``\\.``. It is null where nothing is left."""
     whole = df.withColumn("_r", F.btrim(F.col(json_col), F.lit(MARGIN)))
-    whole = whole.where(F.try_parse_json("_r").isNotNull() & F.col("_r").startswith("{"))
-    out = []
+    whole = whole.where(F.try_parse_json("_r").isNotNull() & F.col("_r").startswith("{")).select("line_id", "stream_id", "file_no", "line_no", "_r")
+    known = [[tuple(p.split(".")) for p in (*names[::-1], field)] for field, names in aliases.items()]
+    entry = T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+        for b in batches:
+            left = pa.array([_left_over(t, known) for t in b.column("_r").to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, left], names=[*b.schema.names, "_left"])
+
+    whole = spread(whole).mapInArrow(run, T.StructType([*whole.schema.fields, T.StructField("_left", T.ArrayType(entry))]))
+    out, unfit = [], []
     for field, names in aliases.items():
-        text = F.coalesce(*[F.get_json_object("_r", _json_path(p)) for p in (*names[::-1], field)])
+        paths = (*names[::-1], field)
+        text = F.coalesce(*[F.get_json_object("_r", _json_path(p)) for p in paths])
         kind = casts.get(field, "string")
         if kind == "timestamp":
             num = text.try_cast("double")
@@ -169,5 +220,10 @@ def unified(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tup
             value = F.when(F.lower(text).isin("true", "1", "1.0", "yes"), True).when(F.lower(text).isin("false", "0", "0.0", "no"), False)
         else:
             value = text.try_cast(T._parse_datatype_string(kind)) if kind != "string" else text
+        if kind != "string":
+            source = F.coalesce(*[F.when(F.get_json_object("_r", _json_path(p)).isNotNull(), F.lit(p)) for p in paths])
+            unfit.append(F.when(text.isNotNull() & value.isNull(), F.struct(source.alias("path"), text.alias("value"))))
         out.append(value.alias(field.replace(".", "_")))
-    return whole.select("line_id", "stream_id", "file_no", "line_no", *out)
+    left = F.concat("_left", F.filter(F.array(*unfit), lambda x: x.isNotNull())) if unfit else F.col("_left")
+    rest = F.when(F.size(left) > 0, F.to_json(F.map_from_entries(left))).alias("rest")
+    return whole.select("line_id", "stream_id", "file_no", "line_no", *out, rest)
