@@ -56,6 +56,13 @@ def test_very_long_text():
     assert {long[a:b] for _, a, b in got} >= {"maria.h@corp.invalid", "Maria Holmquist"}
 
 
+def test_nothing_is_cut_inside_a_long_sentence():
+    tagger = pii.Tagger(*pii.model())
+    for n in range(280, 301):
+        text = "界" * n + "请联系王伟，电话13800138000"
+        assert {text[a:b] for _, a, b in tagger.spans([text])[0]} == {"王伟", "13800138000"}, n
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, msg_content string")
     assert pii.find(df).count() == 0 and pii.redact(df).count() == 0

@@ -107,7 +107,7 @@ class Crf:
             at = first[g][:, None] + np.minimum(np.arange(n), size[g][:, None] - 1)
             live = np.arange(n) < size[g][:, None]
             e = em[at]
-            best = e[:, 0] + self.s
+            best = (e[:, 0] + self.s).astype(float)  # sums over sentences of any length
             back = np.zeros((len(g), n, len(self.labels)), np.int8)
             for p in range(1, n):
                 cand = best[:, :, None] + self.t

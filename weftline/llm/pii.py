@@ -38,8 +38,6 @@ RUN = re.compile(r"[+(]?\d[\d ().\-/]*\d|\d")
 MAILISH = re.compile(r"[^\s<>\"';,=()]*[\w.+\-](?:[@＠]|\(at\)|\[at\])[\w\-]+(?:(?:\.|\[dot\]|\(dot\))[\w\-]+)+|[\w.+\-]+ (?:at|\[at\]|\(at\)) [\w\-]+(?:(?:\.| dot | \[dot\] | \(dot\) )[\w\-]+)+", re.I)
 NINE = str.maketrans("012345678" + "０１２３４５６７８９", "9" * 19)
 _ASCII_NINE = bytes.maketrans(b"012345678", b"999999999")
-#: Longest piece decoded at once, in tokens; longer sentences are cut before a spaced lower-case word or mark.
-PIECE = 300
 WINDOW = (-3, -2, -1, 0, 1, 2, 3)
 
 
@@ -266,16 +264,10 @@ class Tagger:
         sents, owner, places = [], [], []
         for k, s in enumerate(new):
             words, space, run, at = tokens(s)
-            lo = 0
-            while lo < len(words):
-                hi = min(lo + PIECE, len(words))
-                if hi < len(words):
-                    cut = next((i for i in range(hi, max(lo, hi - 60), -1) if space[i] and words[i].islower()), hi)
-                    hi = cut
-                sents.append((words[lo:hi], space[lo:hi], run[lo:hi]))
+            if words:
+                sents.append((words, space, run))
                 owner.append(k)
-                places.append(at[lo:hi])
-                lo = hi
+                places.append(at)
         found: list[list] = [[] for _ in new]
         if sents:
             size = np.array([len(x[0]) for x in sents])
