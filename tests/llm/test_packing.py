@@ -61,3 +61,11 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     plans = spark.createDataFrame([(1, "x", 64)], "plan_id bigint, plan_label string, capacity_tokens bigint")
     assert packing.pack(docs, plans).count() == 0 and packing.pack(docs, plans.where("false")).count() == 0
+
+
+def test_tiers_are_labels_of_best_fit_decreasing():
+    for seed in range(50):
+        r = random.Random(seed)
+        hist = {s: r.randint(1, 9) for s in r.sample(range(1, 65), 20)}
+        with_tiers, without = ([(n, held) for n, held, _ in packing.plan_patterns(hist, 64, t)] for t in ((8, 32), ()))
+        assert with_tiers == without

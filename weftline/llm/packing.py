@@ -1,9 +1,9 @@
 """Problem 8: texts packed into containers of fixed capacity, in tiers of context size.
 
 Sizes are small integers, so a corpus of any length packs through its size histogram: at most ``capacity`` counts a
-plan, the only thing that reaches the driver. Documents are routed to tiers by size; tiers are packed from the
-longest to the shortest, best fit decreasing, and each shorter tier first fills the gaps the longer ones left
-(:func:`plan_patterns`). A pattern is a multiset of sizes with the number of containers that hold it. Rows then
+plan, the only thing that reaches the driver. Sizes are packed best fit decreasing (:func:`plan_patterns`): as all
+containers of a plan have one capacity, going through context-size tiers from the longest to the shortest and filling
+the gaps of longer ones first is the same, so tiers only label a container by its longest text. A pattern is a multiset of sizes with the number of containers that hold it. Rows then
 find their place by arithmetic: the number of a row among those of its size (:mod:`weftline.operators.ranks`)
 looks up pattern, container and offset. Containers are dealt to step groups in snake order of their fill, so the
 groups of a step carry about the same number of tokens.
