@@ -154,3 +154,10 @@ def test_every_message_has_its_vector(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     n = search.messages(spark, sf).where(F.col("text").rlike(r"\P{IsWhite_Space}")).count()
     assert n == search.message_vectors(spark, sf).count() == search.bigram_messages(spark, sf).select("id").distinct().count()
+
+
+def test_the_floor_alone_cuts_semantic_floor(spark):
+    from weftline.plans import search
+
+    plan = search.semantic_floor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan

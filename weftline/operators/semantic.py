@@ -28,14 +28,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (n == 0), F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def topk(vectors: DataFrame, query: list[float], k: int, vec: str = "embedding", id_col: str = "vec_id", floor: float | None = None) -> DataFrame:
-    """(id, sim) of the k nearest vectors; non-finite similarities raise. Filters on ``vectors`` act before the cut."""
+def topk(vectors: DataFrame, query: list[float], k: int | None, vec: str = "embedding", id_col: str = "vec_id", floor: float | None = None) -> DataFrame:
+    """(id, sim) of the k nearest vectors, with k None of all (unordered); non-finite similarities raise. Filters on ``vectors`` act before the cut."""
     q = F.array(*[F.lit(float(x)) for x in query])
     s = cosine(F.col(vec), q)
     d = vectors.select(F.col(id_col).alias("id"), F.when(F.isnan(s), F.raise_error(F.lit("similarity is not finite")).cast("double")).otherwise(s).alias("sim"))
     if floor is not None:
         d = d.where(F.col("sim") >= floor)
-    return d.orderBy(F.desc("sim"), F.asc("id")).limit(k)
+    return d if k is None else d.orderBy(F.desc("sim"), F.asc("id")).limit(k)
 
 
 def topk_each(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", id_col: str = "vec_id", block: int = 256, max_queries: int = 100_000) -> DataFrame:

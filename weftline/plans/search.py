@@ -102,7 +102,7 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_floor(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.topk(table(spark, d, "embeddings"), _query_vector(spark, d), 1_000_000, floor=0.2).select("id", F.round("sim", 6).alias("sim"))
+    return semantic.topk(table(spark, d, "embeddings"), _query_vector(spark, d), None, floor=0.2).select("id", F.round("sim", 6).alias("sim"))
 
 
 def semantic_each(spark: SparkSession, d: str) -> DataFrame:
