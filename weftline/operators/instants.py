@@ -3,8 +3,8 @@
 Texts are parsed by JVM regular expressions into wall-clock parts and, where written, an offset, a zone
 abbreviation or a zone name. Texts that need a zone are joined as of their local time to the zone-offset
 intervals, exploded by (zone, local year): two intervals that hold the local time mean it is ambiguous, none
-that it does not exist, one gives the offset. The interval table is bounded by the IANA list (see
-:mod:`weftline.functions.zones`), so it is broadcast and the big table is never shuffled or sorted.
+that it does not exist, one gives the offset. The interval table is read from the zone files, has no limit of years
+and is bounded by the IANA list (see :mod:`weftline.functions.zones`), so it is broadcast and the big table is never shuffled or sorted.
 
 Defined results: null and blank texts, texts without a date or a time of day, dates and times that do not
 exist (hour 24 and second 60 included), and texts that need an installation which is null or unknown give null.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.zones import interval_table
+from weftline.functions.zones import interval_table, table_year
 from weftline.session import spread
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
@@ -130,17 +130,11 @@ def normalise(
     fixed = F.coalesce(F.col("_epoch"), F.col("_local") - F.col("_offset").cast("bigint") * 1000000)
     need = F.col("_epoch").isNull() & F.col("_local").isNotNull() & F.col("_offset").isNull() & ~F.coalesce(F.col("_badoff"), F.lit(False))
     # as-of join on (zone, local year); rows that need no zone carry a null key and match nothing
-    d = d.withColumns(
-        {
-            "_fixed": fixed,
-            "_need": need,
-            "tz": F.when(need, F.col("_zone")),
-            "local_year": F.when(need, F.year(F.timestamp_micros("_local"))),
-        }
-    )
+    year, shift = table_year(F.col("_local"))
+    d = d.withColumns({"_fixed": fixed, "_need": need, "tz": F.when(need, F.col("_zone")), "local_year": F.when(need, year), "_at": F.col("_local") + shift})
     table = interval_table(spark, zones)
     d = d.join(F.broadcast(table), ["tz", "local_year"], "left")
-    hits = F.filter("spans", lambda s: (s["begin"] <= F.col("_local")) & (F.col("_local") < s["end"]) & (F.col("_abbr").isNull() | (s["abbr"] == F.col("_abbr"))))
+    hits = F.filter("spans", lambda s: (s["begin"] <= F.col("_at")) & (F.col("_at") < s["end"]) & (F.col("_abbr").isNull() | (s["abbr"] == F.col("_abbr"))))
     named = F.array_distinct(F.transform(F.filter("spans", lambda s: s["abbr"] == F.col("_abbr")), lambda s: s["offset_s"]))
     d = d.withColumns({"_hits": hits, "_named": named})
     zoned = (
