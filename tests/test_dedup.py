@@ -45,13 +45,35 @@ def test_permutation_loses_nothing(spark):
     assert out.count() == len(ids)
 
 
-def test_table_keeps_the_best_over_batches():
-    t = dedup.QuotientTable()
-    z = np.zeros(3, np.int64)
-    lost = t.insert(np.array([1, 1, 2], np.uint64), np.array([7, 7, 7], np.uint64), z, np.array([5, 6, 1]), np.array([10, 11, 12]))
-    assert lost.tolist() == [11]
-    lost = t.insert(np.array([1], np.uint64), np.array([7], np.uint64), z[:1], np.array([4]), np.array([99]))
-    assert lost.tolist() == [10]
+def test_table_takes_each_identifier_once():
+    r = np.random.default_rng(4)
+    for n, pool in ((1, 1), (300, 40), (5000, 5000), (4000, 3)):
+        ids = r.integers(0, 2**63, size=(pool, 2), dtype=np.uint64)
+        ids[: pool // 2, 0] = ids[0, 0]  # equal quotients: long chains of probes
+        pick, code = r.integers(0, pool, n), r.integers(0, 2, n)
+        table, seen, want, got = dedup.QuotientTable(n), set(), [], []
+        for k, c in zip(pick, code):
+            want.append((k, c) not in seen)
+            seen.add((k, c))
+        for half in (slice(0, n // 2), slice(n // 2, n)):
+            got += table.insert(ids[pick[half], 0], ids[pick[half], 1], code[half]).tolist()
+        assert got == want
+
+
+def test_runs_shorter_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "RUN", 10)
+    t0 = datetime(2026, 1, 1)
+    r = random.Random(8)
+    rows = [(i, str(uuid.UUID(int=r.choice([1, 1, 1, 2, 3, r.getrandbits(128)]))), "s", t0 + timedelta(seconds=r.randrange(50)), "", 0) for i in range(3000)]
+    keep = {}
+    for row in rows:
+        keep[row[1]] = min(keep.get(row[1], (t0 + timedelta(days=1), 0)), (row[3], row[0]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [x.row_id for x in dedup.repeated(spark.createDataFrame(rows, SCHEMA)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == {x[0] for x in rows} - {k[1] for k in keep.values()}
 
 
 def test_empty(spark):
