@@ -3,9 +3,9 @@
 The expected number of copies of a document is the same within a source, e = share x total / tokens of the source,
 never above the source's ``max_repeats``; by default the total is the largest at which no source passes its cap.
 Within a source, documents are numbered in order of size class (so the sampled sizes are spread evenly), the
-numbers times e are the prefix sums of expected copies, and with one offset (of 32 spread from a random start, the
-one that meets the quota best) a document is emitted once for
-each integer its interval crosses: floor(e) or ceil(e) times. Numbering is cut into (size class, salt) slices, so a
+numbers times e are the prefix sums of expected copies, and with one random offset a document is emitted once for
+each integer its interval crosses: floor(e) or ceil(e) times, and e times on average over offsets. What a source
+misses of its quota, less than a document of each size class or so, is reported by :func:`shares`. Numbering is cut into (size class, salt) slices, so a
 source with a third of all rows is never sorted in one task; only the histogram of slices is summed over.
 
 Defined results: null texts, null sources and sources without a target are left out; a target without documents
@@ -23,9 +23,6 @@ from weftline.llm.tokens import TOKENIZER, sized
 from weftline.operators.ranks import numbered
 from weftline.session import cut
 
-#: Number of offsets tried for a source.
-OFFSETS = 32
-
 
 def quotas(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(source, target_share, share, max_repeats, n_docs, tokens, copies): expected copies of each document of a source."""
@@ -54,18 +51,9 @@ def _emitted(sizes: DataFrame, targets: DataFrame, total_tokens: int | None, see
     starts = per.select("source", "cls", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
     # both are bounded: a few hundred size classes a source, one row a target
     d = d.join(starts, ["source", "cls"]).join(F.broadcast(quota.select("source", "copies").where("copies > 0")), "source")
-    d = cut(d.select("doc_id", "source", "n_tokens", "copies", (F.col("start") + F.col("rank")).alias("i")))
-    random = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / float(1 << 30)
-
-    def crossed(u):
-        return F.floor((F.col("i") + 1) * F.col("copies") + u) - F.floor(F.col("i") * F.col("copies") + u)
-
-    # of OFFSETS equally spread offsets each source takes the one whose sample comes nearest to its quota
-    tried = [random + j / OFFSETS for j in range(OFFSETS)]
-    miss = d.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("want"), *[F.sum(F.col("n_tokens") * crossed(u)).alias(f"t{j}") for j, u in enumerate(tried)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("want")).alias("d"), F.lit(j / OFFSETS).alias("o")) for j in range(OFFSETS)]))
-    d = d.join(F.broadcast(miss.select("source", best["o"].alias("o"))), "source")
-    n = crossed(random + F.col("o"))
+    d = d.select("doc_id", "source", "n_tokens", "copies", (F.col("start") + F.col("rank")).alias("i"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / float(1 << 30)
+    n = F.floor((F.col("i") + 1) * F.col("copies") + u) - F.floor(F.col("i") * F.col("copies") + u)
     return d.select("doc_id", "source", "n_tokens", n.cast("int").alias("n_copies")).where("n_copies > 0"), quota
 
 
@@ -76,9 +64,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
 
 
 def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 20, path: str = TOKENIZER) -> DataFrame:
-    """One row a target: its share, what it has, the expected copies and the share its emitted tokens reached."""
+    """One row a target: its share, what it has, the expected copies, its quota, and the tokens and share it reached."""
     out, quota = _emitted(_sizes(docs, path), targets, total_tokens, seed)
     got = out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("mix_tokens"), F.sum("n_copies").cast("bigint").alias("mix_docs"), F.max("n_copies").alias("most_copies"))
     t = quota.join(got, "source", "left").fillna(0, ["mix_tokens", "mix_docs", "most_copies"])
     every = Window.partitionBy(F.lit(1))
-    return t.select("source", "target_share", "max_repeats", "n_docs", "tokens", F.round("copies", 6).alias("expected_copies"), "mix_docs", "mix_tokens", "most_copies", F.round(F.coalesce(F.try_divide(F.col("mix_tokens"), F.sum("mix_tokens").over(every)), F.lit(0.0)), 6).alias("reached_share"))
+    return t.select("source", "target_share", "max_repeats", "n_docs", "tokens", F.round("copies", 6).alias("expected_copies"), F.round(F.col("tokens") * F.col("copies"), 3).alias("quota_tokens"), "mix_docs", "mix_tokens", "most_copies", F.round(F.coalesce(F.try_divide(F.col("mix_tokens"), F.sum("mix_tokens").over(every)), F.lit(0.0)), 6).alias("reached_share"))
