@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from weftline.llm import conversations as cv
 
 SCHEMA = "row_id bigint, session_id string, msg_uuid string, parent_uuid string, msg_role string, sent_at timestamp, msg_content string, turn_no int"
@@ -58,6 +60,54 @@ def test_clock_offsets_mend_the_order(spark):
     assert kept(spark, rows) == {"s": [x for k in range(6) for x in (f"u{k}", f"a{k}")]}
 
 
+def test_unequal_delays_stay_inside_what_the_constraints_allow(spark):
+    """The assistant's clock is 5 s slow, it answers after 2 s; users take 15 s at best and 70 s on average."""
+    turns, t = [], 0
+    for k in range(12):
+        turns += [(f"u{k:02}", f"a{k - 1:02}" if k else None, "user", t, "q"), (f"a{k:02}", f"u{k:02}", "assistant", t + 2 - 5, "r")]
+        t += 2 + (15 if k % 6 == 0 else 80)
+    rows = rows_of(turns)
+    got = cv.clock_offsets(cv.messages(spark.createDataFrame(rows, SCHEMA))).collect()[0]
+    assert got.feasible and 3e6 < got.offsets["assistant"] - got.offsets["user"] <= 20e6
+    assert kept(spark, rows) == {"s": [x for k in range(12) for x in (f"u{k:02}", f"a{k:02}")]}
+
+
+def test_offsets_meet_the_constraints_or_a_cycle_forbids_it():
+    r = np.random.default_rng(6)
+    verdicts = {True: 0, False: 0}
+    for _ in range(300):
+        k = int(r.integers(2, 6))
+        least = np.where(r.random((k, k)) < 0.6, r.integers(-40_000_000, 90_000_000, (k, k)), np.nan)
+        np.fill_diagonal(least, np.where(r.random(k) < 0.1, -1.0, 5.0))
+        d = np.where(np.isnan(least), np.inf, least)
+        for m in range(k):
+            d = np.minimum(d, d[:, m : m + 1] + d[m : m + 1, :])
+        feasible = bool((np.diag(d) >= 0).all())
+        verdicts[feasible] += 1
+        got = cv.offsets_of(least)
+        assert (got is not None) == feasible
+        if feasible:
+            a, b = np.nonzero(~np.isnan(least))
+            assert (least[a, b] + got[a] - got[b] >= 0).all()
+    assert min(verdicts.values()) > 30
+
+
+def test_a_cycle_of_three_senders_is_infeasible(spark):
+    turns = [("a", "c2", "user", 1, "q"), ("b", "a", "assistant", 2, "r"), ("c", "b", "tool", 3, "t"), ("c2", "b", "tool", 40, "t"), ("d", "c", "assistant", 50, "r")]
+    assert kept(spark, rows_of(turns)) == {}  # user before tool before assistant before user: no clocks mend it
+    assert kept(spark, rows_of(turns), honour_sent_at=True) == {"s": ["a", "b", "c", "c2", "d"]}
+
+
+def test_a_hot_session_and_many_moved_clocks(spark, monkeypatch):
+    rows = rows_of([x for k in range(1500) for x in ((f"u{k:04}", None, "user", 40 * k, "q"), (f"a{k:04}", f"u{k:04}", "assistant", 40 * k + 9 - 20, "r"))], "hot")
+    for n in range(30):
+        rows += rows_of([("p", None, "user", 100, "q"), ("q", "p", "assistant", 95, "r"), ("z", None, "narrator" if n % 3 == 0 else "tool", 96, "")], f"s{n}", 10_000 + 10 * n)
+    want = {"hot": [x for k in range(1500) for x in (f"u{k:04}", f"a{k:04}")], **{f"s{n}": ["z", "p", "q"] for n in range(30) if n % 3}}
+    assert kept(spark, rows, span_s=600) == want
+    monkeypatch.setattr(cv, "MOST_BROADCAST", 3)
+    assert kept(spark, rows) == want
+
+
 def test_infeasible_constraints(spark):
     turns = [("a", "b", "user", 1, "q"), ("b", None, "user", 2, "q"), ("c", "a", "assistant", 3, "r")]
     assert kept(spark, rows_of(turns)) == {}

@@ -3,13 +3,14 @@
 1. One row for each message of a session (all rows with its msg_uuid say the same; of differing ones the row with
    the earliest ``sent_at``, then the smallest ``row_id``), aggregated before the shuffle.
 2. Clock offsets. A reply is never sent before what it answers. For every ordered pair of senders of a session the
-   number, sum and least of (reply time - parent time) are aggregated, at most 36 rows a session however many
-   messages it has. Where a constraint is broken, offsets of the senders' clocks are the least-squares solution of
-   ``time_reply + o_reply - time_parent - o_parent = mean delay``; where none is, they are zero. A session with a
-   constraint that no offsets mend (same sender, or still broken after the correction) is infeasible.
-3. Turns are merge-sorted by corrected time. A session is cut into spans of ``span_s`` seconds of corrected time;
-   spans are numbered and summed by themselves and then joined to running totals over spans, so a session that
-   holds a large share of all rows is never sorted in one task.
+   least (reply time - parent time) is aggregated, 25 numbers a session however many messages it has; replies to one
+   message are aggregated before they meet it. Where a constraint is broken, the constraints are checked first: they
+   can be met if and only if no cycle of senders has a negative sum. Within what they allow, offsets are the
+   least-squares solution of ``least gap + o_reply - o_parent = delay`` with one unknown delay of at least zero and a
+   slight pull to zero. Where none is broken, offsets are zero. A session whose constraints no offsets meet is infeasible.
+3. Turns are merge-sorted by corrected time. A session is cut into spans of ``span_s`` seconds of corrected time.
+   Spans are numbered and judged by themselves; a small table of spans carries totals, the speaker that follows and the
+   verdict across them, and comes back by one join on (session, span). No join or sort has the session alone as its key.
 4. Broken, empty and unanswered conversations are dropped.
 
 ``honour_sent_at``: for a table whose ``sent_at`` is stated to be the order of turns, a conversation is neither
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import cut
+
 #: Usual names of the speaker roles.
 ROLES = {
     "user": ("user", "human", "customer", "enduser", "person", "client", "prompter", "usr"),
@@ -37,6 +40,8 @@ ROLES = {
     "system": ("system", "sys"),
     "developer": ("developer", "dev"),
 }
+#: Most sessions with a moved clock whose offsets are broadcast (some ten MB); more are joined in salted shares.
+MOST_BROADCAST = 100_000
 #: Characters that show nothing.
 INVISIBLE = r"[\s\p{Z}\p{C}ᅟᅠㅤﾠ⠀͏]"
 
@@ -55,72 +60,136 @@ def messages(rows: DataFrame) -> DataFrame:
     return d.groupBy("session_id", "msg_uuid").agg(pick.alias("m")).select("session_id", "msg_uuid", "m.*")
 
 
-def clock_offsets(msgs: DataFrame) -> DataFrame:
-    """(session_id, offsets map<role, bigint>, feasible) from the reply-before constraints of each session."""
-    up = msgs.select("session_id", F.col("msg_uuid").alias("parent_uuid"), F.col("role").alias("p_role"), F.col("us").alias("p_us"))
-    pairs = msgs.where(F.col("parent_uuid").isNotNull()).join(up, ["session_id", "parent_uuid"])
-    gap = F.col("us") - F.col("p_us")
-    stats = pairs.where(gap.isNotNull() & F.col("role").isNotNull() & F.col("p_role").isNotNull()).groupBy("session_id", "role", "p_role").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean"), F.min(gap).alias("least"))
-    # only sessions with a broken constraint need a solution; the others have offsets 0 and are feasible
-    broken = stats.groupBy("session_id").agg(F.min("least").alias("worst"), F.collect_list(F.struct("role", "p_role", "n", "mean", "least")).alias("s")).where("worst < 0")
+def _constraints(msgs: DataFrame) -> DataFrame:
+    """(session_id, orphan, least): whether a parent is missing, and the least gap of every ordered pair (reply role,
+    parent role), row by row of ROLES, null where the pair does not occur."""
+    first = [F.min(F.when(F.col("role") == r, F.col("us"))).alias(f"us_{r}") for r in ROLES]
+    replies = msgs.where(F.col("parent_uuid").isNotNull()).groupBy("session_id", "parent_uuid").agg(*first)
+    up = msgs.select("session_id", F.col("msg_uuid").alias("parent_uuid"), F.col("role").alias("p_role"), F.col("us").alias("p_us"), F.lit(True).alias("known"))
+    pairs = replies.join(up, ["session_id", "parent_uuid"], "left")
+    least = [F.min(F.when(F.col("p_role") == p, F.col(f"us_{r}") - F.col("p_us"))) for r in ROLES for p in ROLES]
+    return pairs.groupBy("session_id").agg(F.bool_or(F.col("known").isNull()).alias("orphan"), F.array(*least).alias("least"))
+
+
+def offsets_of(least: np.ndarray) -> np.ndarray | None:
+    """Clock offsets (microseconds) of the senders whose ``least[reply, parent]`` gaps are given (nan: no pair), or
+    None if no offsets meet the constraints ``least[r, p] + o[r] - o[p] >= 0``."""
+    k = len(least)
+    if np.any(np.diag(least) < 0):
+        return None
+    r, p = np.nonzero(~np.isnan(least) & ~np.eye(k, dtype=bool))
+    gap = least[r, p]
+
+    def reached(o: np.ndarray, margin: int) -> np.ndarray | None:
+        """The nearest offsets below ``o`` that meet all constraints; None on a negative cycle."""
+        o = o.copy()
+        for _ in range(k + 1):
+            before = o.copy()
+            for a, b, g in zip(r, p, gap):
+                o[b] = min(o[b], o[a] + int(g) - margin)
+            if (o == before).all():
+                return o
+        return None
+
+    zero = np.zeros(k, np.int64)
+    margin = next((m for m in (1, 0) if reached(zero, m) is not None), None)  # a reply comes after its parent, not with it
+    if margin is None:
+        return None
+    # least squares under the constraints, in seconds: unknowns are the offsets and the delay
+    a = np.zeros((len(r), k + 1))
+    a[np.arange(len(r)), r], a[np.arange(len(r)), p], a[:, k] = 1, -1, -1
+    h = np.linalg.inv(a.T @ a + np.diag([1e-3] * k + [1e-6]))
+    x = h @ a.T @ (-gap / 1e6)
+    g = np.vstack([a[:, :], np.zeros(k + 1)])
+    g[:-1, k], g[-1, k] = 0, 1
+    bound = np.append((margin - gap) / 1e6, 0.0)
+    lam, hg = np.zeros(len(g)), g @ h
+    reach = np.einsum("ij,ij->i", hg, g)
+    for _ in range(400):  # dual ascent, one constraint after the other
+        worst = 0.0
+        for i in range(len(g)):
+            step = max(-lam[i], (bound[i] - g[i] @ x) / reach[i])
+            lam[i] += step
+            x = x + step * hg[i]
+            worst = max(worst, abs(step) * reach[i])
+        if worst < 1e-7:
+            break
+    return reached(np.round(x[:k] * 1e6).astype(np.int64), margin)
+
+
+def _solved(per: DataFrame) -> DataFrame:
+    """(session_id, orphan, offsets map<role, bigint>, feasible) of the given sessions; offsets null where none is needed."""
+    names = list(ROLES)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for sid, stats_ in zip(frame["session_id"], frame["s"]):
-                names = sorted({x["role"] for x in stats_} | {x["p_role"] for x in stats_})
-                at = {k: i for i, k in enumerate(names)}
-                a, b = [], []
-                for x in stats_:
-                    if x["role"] != x["p_role"]:
-                        row = np.zeros(len(names) + 1)
-                        row[at[x["role"]]], row[at[x["p_role"]]], row[-1] = 1, -1, -1
-                        w = np.sqrt(x["n"])
-                        a.append(row * w)
-                        b.append(-x["mean"] * w)
-                a.append(np.append(np.full(len(names), 1e-3), 0))  # the mean clock is right
-                b.append(0.0)
-                sol = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0][:-1]
-                ok = all(x["least"] + sol[at[x["role"]]] - sol[at[x["p_role"]]] >= 0 for x in stats_)
-                out.append((sid, {k: int(round(sol[at[k]])) for k in names}, bool(ok)))
-            yield pd.DataFrame(out, columns=["session_id", "offsets", "feasible"])
-
-    return broken.select("session_id", "s").mapInPandas(solve, "session_id string, offsets map<string,bigint>, feasible boolean")
-
-
-def _running(d: DataFrame, span: Column) -> DataFrame:
-    """Number the messages of each session by (at, msg_uuid), and find the next user or assistant message; two-level."""
-    d = d.withColumn("_span", F.coalesce(span, F.lit(-(2**62))))  # messages without a time stay, so that they can break their conversation
-    own = Window.partitionBy("session_id", "_span").orderBy("at", "msg_uuid")
-    ahead = own.rowsBetween(1, Window.unboundedFollowing)
-    spoken = F.when(F.col("role").isin("user", "assistant"), F.struct("role", F.col("_i").alias("i")))
-    d = d.withColumn("_i", F.row_number().over(own).cast("bigint"))
-    d = d.withColumn("_next", F.first(spoken, ignorenulls=True).over(ahead))
-    spans = d.groupBy("session_id", "_span").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.when(F.col("role").isin("user", "assistant"), F.struct("role", F.col("_i").alias("i"))), F.when(F.col("role").isin("user", "assistant"), F.col("_i"))).alias("lead"))
-    w = Window.partitionBy("session_id").orderBy("_span")
-    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    spans = spans.withColumn("lead", F.when(F.col("lead").isNotNull(), F.struct(F.col("lead.role").alias("role"), (F.col("lead.i") + F.col("before")).alias("i"))))
-    spans = spans.withColumn("later", F.first("lead", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).select("session_id", "_span", "before", "later")
-    d = d.join(spans, ["session_id", "_span"])
-    nxt = F.coalesce(F.when(F.col("_next").isNotNull(), F.struct(F.col("_next.role").alias("role"), (F.col("_next.i") + F.col("before")).alias("i"))), F.col("later"))
-    return d.withColumns({"turn_no": F.col("_i") + F.col("before"), "next_role": nxt["role"], "next_turn": nxt["i"]}).drop("_span", "_i", "_next", "before", "later")
+            for sid, orphan, least in zip(frame["session_id"], frame["orphan"], frame["least"]):
+                m = np.array([np.nan if x is None else x for x in least], float).reshape(len(names), len(names))
+                moved, feasible = None, True
+                if np.nanmin(m, initial=0) < 0:
+                    own = np.flatnonzero(~np.isnan(m).all(0) | ~np.isnan(m).all(1))
+                    got = offsets_of(m[np.ix_(own, own)])
+                    feasible = got is not None
+                    moved = {names[i]: int(o) for i, o in zip(own, got)} if feasible else None
+                out.append((sid, bool(orphan), moved, feasible))
+            yield pd.DataFrame(out, columns=["session_id", "orphan", "offsets", "feasible"])
+
+    return per.mapInPandas(solve, "session_id string, orphan boolean, offsets map<string,bigint>, feasible boolean")
+
+
+def _broken(per: DataFrame) -> DataFrame:
+    return per.where(F.coalesce(F.array_min("least"), F.lit(0)) < 0)
+
+
+def clock_offsets(msgs: DataFrame) -> DataFrame:
+    """(session_id, offsets map<role, bigint>, feasible) of the sessions in which a reply comes before its parent;
+    offsets are null where the constraints cannot be met."""
+    return _solved(_broken(_constraints(msgs))).select("session_id", "offsets", "feasible")
+
+
+def _shifted(msgs: DataFrame, moved: DataFrame) -> DataFrame:
+    """Add ``shift``, the offset of the sender's clock. ``moved`` (session_id, offsets) is broadcast up to a checked
+    size; beyond it each session's offsets go to 16 salted shares of its messages."""
+    n = moved.count()
+    if n == 0:
+        return msgs.withColumn("shift", F.lit(0).cast("bigint"))
+    if n <= MOST_BROADCAST:
+        m = msgs.join(F.broadcast(moved), "session_id", "left")
+    else:
+        m = msgs.withColumn("_salt", F.pmod(F.hash("msg_uuid"), F.lit(16))).join(moved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["session_id", "_salt"], "left").drop("_salt")
+    return m.withColumn("shift", F.coalesce(F.try_element_at("offsets", F.col("role")), F.lit(0).cast("bigint"))).drop("offsets")
 
 
 def conversations(rows: DataFrame, honour_sent_at: bool = False, span_s: int = 6 * 3600) -> DataFrame:
     """(session_id, turn_no, msg_uuid, role, corrected_us, clock_offset_us) of every message of every kept conversation."""
-    msgs = messages(rows)
-    up = msgs.select("session_id", F.col("msg_uuid").alias("parent_uuid"), F.lit(True).alias("has_parent"))
-    m = msgs.join(up, ["session_id", "parent_uuid"], "left")
-    clocks = clock_offsets(msgs)
-    m = m.join(clocks, "session_id", "left")
-    shift = F.coalesce(F.try_element_at("offsets", F.col("role")), F.lit(0))
-    m = m.withColumns({"shift": shift, "at": F.col("us") if honour_sent_at else F.col("us") + shift})
-    t = _running(m, F.floor(F.col("at") / (span_s * 1_000_000)).cast("bigint"))
+    msgs = cut(messages(rows))
+    per = _constraints(msgs)
+    # sessions about which parents or clocks say something; the others are in order as they are
+    noted = cut(_solved(per.where(F.col("orphan") | (F.coalesce(F.array_min("least"), F.lit(0)) < 0))))
+    m = _shifted(msgs, noted.where(F.col("offsets").isNotNull()).select("session_id", "offsets"))
+    m = m.withColumn("at", F.col("us") if honour_sent_at else F.col("us") + F.col("shift"))
+    # messages without a time have no turn but break their conversation; they are spread over spans of their own
+    span = F.coalesce(F.floor(F.col("at") / (span_s * 1_000_000)).cast("bigint"), F.pmod(F.hash("msg_uuid"), F.lit(64)) - (1 << 40))
+    own = Window.partitionBy("session_id", "_span").orderBy("at", "msg_uuid")
     speaks = F.col("role").isin("user", "assistant")
-    unanswered = (F.col("role") == "user") & (F.col("next_role").isNull() | ((F.col("next_role") == "user") & (F.col("next_turn") != F.col("turn_no") + 1)))
-    bad = F.col("us").isNull() | F.col("role").isNull() | (F.col("parent_uuid").isNotNull() & F.col("has_parent").isNull()) | (speaks & ~F.col("visible")) | unanswered
-    if not honour_sent_at:
-        bad = bad | (F.coalesce(F.col("feasible"), F.lit(True)) == F.lit(False))
-    verdict = t.groupBy("session_id").agg((~F.bool_or(F.coalesce(bad, F.lit(True))) & F.bool_or(F.coalesce(F.col("role") == "user", F.lit(False)))).alias("keep"))
-    kept = t.join(verdict.where("keep").select("session_id"), "session_id", "left_semi")
-    return kept.select("session_id", "turn_no", "msg_uuid", "role", (F.col("us") + F.col("shift")).alias("corrected_us"), F.col("shift").alias("clock_offset_us"))
+    d = m.select("session_id", span.alias("_span"), "msg_uuid", "at", "role", "shift", (F.col("us").isNull() | F.col("role").isNull() | (speaks & ~F.col("visible"))).alias("bad"))
+    d = d.withColumn("_i", F.row_number().over(own).cast("bigint"))
+    said = F.struct(F.col("_i").alias("i"), "role")
+    ahead = d.withColumn("_next", F.first(F.when(speaks, said), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
+    waits = (F.col("role") == "user") & (F.col("_next.role") == "user") & (F.col("_next.i") != F.col("_i") + 1)
+    spans = ahead.groupBy("session_id", "_span").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.col("bad") | waits, F.col("bad"), F.lit(True))).alias("bad"), F.bool_or(F.coalesce(F.col("role") == "user", F.lit(False))).alias("asked"),
+        F.min_by(F.when(speaks, said), F.when(speaks, F.col("_i"))).alias("lead"), F.max_by(F.when(speaks, said), F.when(speaks, F.col("_i"))).alias("tail"),
+    )
+    # the table of spans: totals, the speaker that follows, the verdict
+    w, all_ = Window.partitionBy("session_id").orderBy("_span"), Window.partitionBy("session_id")
+    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spans = spans.withColumn("later", F.first(F.when(F.col("lead").isNotNull(), F.struct((F.col("lead.i") + F.col("before")).alias("i"), F.col("lead.role").alias("role"))), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    waits = (F.col("tail.role") == "user") & (F.col("later").isNull() | ((F.col("later.role") == "user") & (F.col("later.i") != F.col("tail.i") + F.col("before") + 1)))
+    dropped = noted.where(F.col("orphan") if honour_sent_at else F.col("orphan") | ~F.col("feasible")).select("session_id", F.lit(True).alias("_dropped"))
+    spans = spans.join(dropped, "session_id", "left")
+    keep = ~F.max(F.col("bad") | F.coalesce(waits, F.lit(False)) | F.col("_dropped").isNotNull()).over(all_) & F.max("asked").over(all_)
+    kept = spans.withColumn("_keep", keep).where("_keep").select("session_id", "_span", "before")
+    out = d.where(F.col("role").isNotNull() & ~F.col("bad")).join(kept, ["session_id", "_span"])
+    return out.select("session_id", (F.col("_i") + F.col("before")).alias("turn_no"), "msg_uuid", "role", (F.col("at") + (F.col("shift") if honour_sent_at else F.lit(0))).alias("corrected_us"), F.col("shift").alias("clock_offset_us"))
