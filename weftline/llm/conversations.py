@@ -174,7 +174,8 @@ def conversations(rows: DataFrame, honour_sent_at: bool = False, span_s: int = 6
     own = Window.partitionBy("session_id", "_span").orderBy("at", "msg_uuid")
     speaks = F.col("role").isin("user", "assistant")
     d = m.select("session_id", span.alias("_span"), "msg_uuid", "at", "role", "shift", (F.col("us").isNull() | F.col("role").isNull() | (speaks & ~F.col("visible"))).alias("bad"))
-    d = d.withColumn("_i", F.row_number().over(own).cast("bigint"))
+    # the same filter for spans and turns (the join below would add it on one side), so that both read one exchange
+    d = d.where(F.col("session_id").isNotNull() & F.col("_span").isNotNull()).withColumn("_i", F.row_number().over(own).cast("bigint"))
     said = F.struct(F.col("_i").alias("i"), "role")
     ahead = d.withColumn("_next", F.first(F.when(speaks, said), ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)))
     waits = (F.col("role") == "user") & (F.col("_next.role") == "user") & (F.col("_next.i") != F.col("_i") + 1)
