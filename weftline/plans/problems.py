@@ -42,8 +42,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    tree = hierarchy.hierarchy(table(spark, d, "message_links"), with_path=True)
-    return tree.join(hierarchy.subtree_sizes(tree), "msg_uuid", "left")
+    return hierarchy.hierarchy(table(spark, d, "message_links"), with_path=True, with_sizes=True)
+
+
+def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Pre-order numbers: the descendants of a message are those with numbers inside its interval."""
+    return hierarchy.intervals(table(spark, d, "message_links"))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +78,7 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "export_lines"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_members, p2_found, p2_normalised, p4_found, p4_tree, p4_descendants, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_members, p2_found, p2_normalised, p4_found, p4_tree, p4_intervals, p4_descendants, p5_found, p5_sessions, p6_found, p6_lifespans, p6_unified)}
 
 _UUID_SQL = r"""CASE WHEN regexp_full_match(lower(trim(msg_uuid)), '(urn:uuid:)?\{?[0-9a-f]{8}-?([0-9a-f]{4}-?){3}[0-9a-f]{12}\}?')
  THEN regexp_replace(regexp_replace(lower(trim(msg_uuid)), '^urn:uuid:', ''), '[^0-9a-f]', '', 'g') ELSE lower(trim(msg_uuid)) END"""
@@ -93,6 +97,14 @@ ORACLES: dict[str, str] = {
  SELECT c.parent AS ancestor_uuid, c.id AS descendant_uuid, CAST(1 AS BIGINT) AS distance FROM cur c JOIN t ON c.id = t.msg_uuid WHERE t.node_depth > 0
  UNION ALL SELECT t.parent, u.descendant_uuid, u.distance + 1 FROM u JOIN (SELECT c.id, c.parent FROM cur c JOIN t ON c.id = t.msg_uuid WHERE t.node_depth > 0) t ON u.ancestor_uuid = t.id)
 SELECT ancestor_uuid, descendant_uuid, distance FROM u""",
+    "p4_tree": _LINKS_SQL.replace("CAST(0 AS BIGINT) AS node_depth", "CAST(0 AS BIGINT) AS node_depth, id AS path").replace("t.node_depth + 1", "t.node_depth + 1, t.path || '/' || c.id") + """,
+a AS (SELECT msg_uuid, node_depth, unnest(string_split(path, '/')) AS above, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos FROM t),
+s AS (SELECT above, count(*) - 1 AS n_descendants, max(node_depth - pos) AS height FROM a GROUP BY above)
+SELECT msg_uuid, root_uuid, node_depth, path, n_descendants, height FROM t JOIN s ON above = msg_uuid UNION ALL SELECT id, '', -1, NULL, NULL, NULL FROM cur WHERE id NOT IN (SELECT msg_uuid FROM t)""",
+    "p4_intervals": _LINKS_SQL.replace("CAST(0 AS BIGINT) AS node_depth", "CAST(0 AS BIGINT) AS node_depth, [id] AS path").replace("t.node_depth + 1", "t.node_depth + 1, list_append(t.path, c.id)") + """,
+s AS (SELECT above, count(*) - 1 AS n FROM (SELECT unnest(path) AS above FROM t) GROUP BY above),
+w AS (SELECT msg_uuid, root_uuid, row_number() OVER (PARTITION BY root_uuid ORDER BY path) - 1 AS first FROM t)
+SELECT msg_uuid, root_uuid, first, first + n AS last FROM w JOIN s ON above = msg_uuid UNION ALL SELECT id, '', NULL, NULL FROM cur WHERE id NOT IN (SELECT msg_uuid FROM t)""",
     "p5_found": f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY session_id, {_UUID_SQL} ORDER BY received_at, row_id) AS rn
  FROM message_rows WHERE coalesce(trim(session_id), '') <> '' AND coalesce(trim(msg_uuid), '') <> '') WHERE rn > 1""",
     "p5_sessions": f"""SELECT session_id, count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(lost, false)) AS n_kept FROM (
