@@ -1,17 +1,43 @@
 import random
+from collections import Counter
+
+import pytest
 
 from weftline.llm import pii
-from weftline.llm.pii_labels import labelled_table
+from weftline.llm.pii_labels import NEGATIVE, POSITIVE, labelled_table
 
 
 def test_held_out_accuracy():
-    feats, crf = pii.model()
-    rows = labelled_table(3, seed=2027)
-    ok = found = true = 0
-    for (text, spans), got in zip(rows, pii.Tagger(feats, crf).spans([t for t, _ in rows])):
-        a, b = {(k, text[x:y]) for x, y, k in spans}, {(k, text[x:y]) for k, x, y in got}
-        ok, true, found = ok + len(a & b), true + len(a), found + len(b)
-    assert ok / true > 0.97 and ok / found > 0.97
+    """Trained on three quarters of all sentence patterns and word lists, tested on the fourth, four times: sentences,
+    family names, streets, places, hosts and everyday words are new, as are given names but for the tagger's lexicon."""
+    ok, true, found = Counter(), Counter(), Counter()
+    for fold in range(4):
+        tagger = pii.Tagger(*pii.model(part=lambda i: i % 4 != fold))
+        rows = labelled_table(12, seed=77, part=lambda i: i % 4 == fold, odd=0.25, free=0)
+        for (text, spans), got in zip(rows, tagger.spans([t for t, _ in rows])):
+            a, b = {(k, text[x:y]) for x, y, k in spans}, {(k, text[x:y]) for k, x, y in got}
+            for c, s in ((ok, a & b), (true, a), (found, b)):
+                c.update(k for k, _ in s)
+    recall, precision = {k: ok[k] / true[k] for k in pii.KINDS}, {k: ok[k] / found[k] for k in pii.KINDS}
+    print({k: (true[k], round(recall[k], 3), round(precision[k], 3)) for k in pii.KINDS})
+    for k in pii.KINDS:  # names of persons in sentences never seen are the hardest
+        assert recall[k] >= (0.84 if k == "person" else 0.9) and precision[k] >= (0.85 if k == "person" else 0.9), (k, recall, precision)
+
+
+def test_no_row_is_lifted_from_the_table():
+    """No pattern of the labelled table is a sentence of the table the tagger is run on."""
+    import os
+    import re
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/message_rows.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    bare = lambda s: re.sub(r"\W+", " ", re.sub(r"\{\w+\}|\d+", " ", s)).strip().lower()
+    text = bare(" \n ".join(x for x in pq.read_table(path, columns=["msg_content"])["msg_content"].to_pylist() if x))
+    long = [p for p in (POSITIVE + "\n" + NEGATIVE).split("\n") if len(bare(p).split()) >= 4 or len(bare(p)) >= 24]
+    assert len(long) > 100 and not [p for p in long if bare(p) in text]
 
 
 def test_viterbi_is_the_best_path():

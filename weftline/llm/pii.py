@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.crf import Crf
-from weftline.llm.pii_labels import labelled_table
+from weftline.llm.pii_labels import LEXICON, Part, labelled_table
 from weftline.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -38,7 +38,11 @@ RUN = re.compile(r"[+(]?\d[\d ().\-/]*\d|\d")
 MAILISH = re.compile(r"[^\s<>\"';,=()]*[\w.+\-](?:[@＠]|\(at\)|\[at\])[\w\-]+(?:(?:\.|\[dot\]|\(dot\))[\w\-]+)+|[\w.+\-]+ (?:at|\[at\]|\(at\)) [\w\-]+(?:(?:\.| dot | \[dot\] | \(dot\) )[\w\-]+)+", re.I)
 NINE = str.maketrans("012345678" + "０１２３４５６７８９", "9" * 19)
 _ASCII_NINE = bytes.maketrans(b"012345678", b"999999999")
+#: A number of streets, not a street with its number.
+COUNTED = re.compile(r"\d+ (?:Street|St|Road|Rd|Lane|Ln|Court|Ct|Close|Avenue|Ave|Drive|Dr|Way|Place|Square)\.?(?: [a-z]+)*")
 WINDOW = (-3, -2, -1, 0, 1, 2, 3)
+#: Places from which a token's entry in the lexicon is seen.
+LISTED = (-2, -1, 0, 1)
 
 
 def shape(w: str) -> str:
@@ -88,6 +92,8 @@ class Features:
             row = [self.f(f"w{o}={low}") for o in WINDOW] + [self.f(f"s{o}={sh}") for o in WINDOW]
             alpha = len(low) > 3 and low[0].isalpha()
             row += [self.f(f"x2={low[-2:]}") if alpha else 0, self.f(f"x3={low[-3:]}") if alpha else 0, self.f(f"p3={low[:3]}") if alpha else 0, self.f(f"x-1={low[-3:]}") if alpha else 0, self.f(f"x+1={low[-3:]}") if alpha else 0]
+            listed = LEXICON.get(low)
+            row += [self.f(f"z{o}={listed}") if listed else 0 for o in LISTED]
             got = self.words[w] = len(self.table)
             self.table.append(row)
             if not self.open and sh not in self.shape_of:
@@ -147,6 +153,7 @@ class Features:
                 col = np.where(blank.random(len(col)) < (0.35 if o == 0 else 0.2), 0, col)
             cols += [col, table[ids[at + o], n + j]]
         extra = [table[ids[at], 2 * n], table[ids[at], 2 * n + 1], table[ids[at], 2 * n + 2], table[ids[at - 1], 2 * n + 3], table[ids[at + 1], 2 * n + 4]]
+        extra += [table[ids[at + o], 2 * n + 5 + j] for j, o in enumerate(LISTED)]
         cols += [np.where(blank.random(len(c)) < 0.15, 0, c) if blank is not None else c for c in extra]
         sp = np.array(spaced, np.int64)
         for name, a, b in (("L", -1, 0), ("R", 0, 1), ("LL", -2, -1), ("RR", 1, 2)):
@@ -173,7 +180,7 @@ def tokens(text: str) -> tuple[list[str], list[bool], list[str], list[tuple[int,
     run = [""] * len(words)
     marks = [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)] if "9" in text else []
     if "@" in text or "＠" in text or " at " in (low := text.lower()) or "[at]" in low or "(at)" in low:
-        marks += [(m.start(), m.end(), "@" + ("x" if m[0][-1].isalpha() else "9")) for m in MAILISH.finditer(text)]
+        marks += [(m.start(), m.end(), "@" + ("x" if m[0][-1].isalpha() else "9") + (":" if re.match(r":\S", text[m.end() : m.end() + 2]) else "")) for m in MAILISH.finditer(text)]
     if marks:
         starts = [a for a, _ in places]
         for a, b, s in marks:
@@ -191,11 +198,11 @@ def masked(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def model(per_pattern: int = 24, epochs: int = 4) -> tuple[Features, Crf]:
-    """Train the field from the labelled table; kept for the life of the process."""
+def model(per_pattern: int = 16, epochs: int = 4, part: Part | None = None) -> tuple[Features, Crf]:
+    """Train the field from the labelled table, or from a part of it; kept for the life of the process."""
     feats = Features()
     sents, ys = [], []
-    for text, spans in labelled_table(per_pattern):
+    for text, spans in labelled_table(per_pattern, part=part):
         words, space, run, places = tokens(masked(text))
         y = np.zeros(len(words), np.int64)
         for a, b, kind in spans:
@@ -226,7 +233,7 @@ def _sound(kind: str, s: str) -> bool:
     if kind == "id_number":
         return 8 <= sum(c.isalnum() for c in s) <= 20 and digits >= 6
     if kind == "address":
-        return digits > 0 and bool(re.search(r"[^\W\d_]{2}", s))
+        return digits > 0 and bool(re.search(r"[^\W\d_]{2}", s)) and not COUNTED.fullmatch(s)
     words = re.findall(rf"[{HAN}]|[^\W\d_{HAN}]+", s)
     return digits == 0 and len(words) >= 2
 
@@ -321,7 +328,7 @@ def _tagger(df: DataFrame, per_pattern: int):
     return lambda: Tagger(*box.value)
 
 
-def find(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", per_pattern: int = 24) -> DataFrame:
+def find(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", per_pattern: int = 16) -> DataFrame:
     """(row_id, pii_kind, surface): every piece of personal data, each surface once per row and kind."""
     make = _tagger(df, per_pattern)
 
@@ -342,7 +349,7 @@ def find(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", p
     return spread(src).mapInArrow(run, "row_id bigint, pii_kind string, surface string")
 
 
-def redact(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", per_pattern: int = 24) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "row_id", text_col: str = "msg_content", per_pattern: int = 16) -> DataFrame:
     """(row_id, redacted, n_found): the text with each span replaced by [KIND]; null texts stay null."""
     make = _tagger(df, per_pattern)
 
