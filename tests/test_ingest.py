@@ -179,6 +179,40 @@ def test_requests(engine):
     assert json.loads(api.envelope(error=api.NotFound("x")))["error"]["code"] == "not_found"
 
 
+def test_pages_leave_nothing_out_and_end(engine):
+    _, e = engine
+    from weftline.operators import paging
+
+    for budget, limit in ((paging.Budget(), 1), (paging.Budget(), 3), (paging.Budget(max_bytes=4096, snippet_chars=2000), 50)):
+        want = [r.id for r in sorted(e.search("limit", limit=50).rows.collect(), key=lambda r: (-r.score, r.id))]
+        got, cursor = [], None
+        for _ in range(20):
+            page = e.search("limit", limit=limit, budget=budget, cursor=cursor)
+            rows = sorted(page.rows.collect(), key=lambda r: (-r.score, r.id))
+            got += [r.id for r in rows]
+            cursor = page.cursor
+            if not cursor:
+                break
+            assert rows
+        assert got == want and cursor is None
+
+
+def test_usage_deltas():
+    from weftline.sources.adapters import UsageDeltas as U
+
+    read = lambda *v: U.read(dict(zip(("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"), v)))
+    assert U.read({"input_tokens": 5, "cache_read_input_tokens": 3, "cached_input_tokens": 2}) == (5, 3, 0, 0)
+    assert U.read({"input_tokens": None}) is None and U.read({"input_tokens": 0}) is None and U.read({"input_tokens": -1}) is None and U.read("x") is None
+    d = U(True)  # a fork inherits its first count, be it a total or a turn
+    assert d.step(None, read(7)) is None and d.step(read(10), None) == (3, 0, 0, 0)
+    d = U(False)
+    assert d.step(read(100, 0, 100), None) == (100, 0, 100, 0) and d.step(read(100, 0, 100), read(9)) is None
+    assert d.step(read(99, 0, 100), read(1)) is None  # told before: 99.5 per cent of the last total
+    assert d.step(read(60, 0, 70), read(40)) is None  # within two turns, over all four counts
+    assert d.step(read(10, 0, 10), read(5)) == (5, 0, 0, 0) and d.step(read(15, 0, 12), None) == (5, 0, 2, 0)
+    assert d.step(read(14, 0, 13), None) is None and d.step(None, read(2)) == (2, 0, 0, 0) and d.step(read(20, 0, 12), None) == (3, 0, 0, 0)
+
+
 def test_store_and_reconcile(spark, tmp_path):
     s = reconcile.Store(spark, str(tmp_path / "store"))
     a = spark.createDataFrame([("p1", "m1"), ("p1", "m2"), ("p2", "m2")], "path string, message_id string")
@@ -193,10 +227,14 @@ def test_store_and_reconcile(spark, tmp_path):
     assert reconcile.tombstones(old, new, part).count() == 0
     nxt = reconcile.next_claims(old, new, whole)
     assert {tuple(r) for r in nxt.collect()} == {("p1", "m3"), ("p2", "m2")}
-    assert s.commit({"claims": nxt}, 1) == 2 and s.vacuum() == ["generation=1"] and s.table("claims").count() == 2
-    with s.lease(), pytest.raises(FileExistsError):
-        s.commit({"claims": a}, 2)
-    assert s.generation == 2
+    assert s.commit({"claims": nxt}, 1) == 2 and len(s.vacuum()) == 1 and s.table("claims").count() == 2
+    assert s.commit({"claims": s.table("claims").repartition(3)}, 2) == 2 and s.vacuum() == []  # the same rows: no generation
+    late = reconcile.Store(spark, str(tmp_path / "store"))
+    late.manifest = lambda g=None, m=s.manifest(): m  # a writer that read before the next commit
+    assert s.commit({"claims": a}, 2) == 3
+    with pytest.raises(reconcile.Conflict):
+        late.commit({"claims": new}, 2)
+    assert s.generation == 3 and s.table("claims").count() == 3 and len(s.vacuum()) == 1 and s.table("claims").count() == 3
     snap = spark.createDataFrame([("a", "f1", 5), ("b", "f2", 5), ("c", "f3", 0), ("d", "x", 0), ("e", "f5", 1)], "path string, fingerprint string, len int")
     state = spark.createDataFrame([("a", "f1", 1), ("b", "old", 1), ("c", "f3", 1), ("e", "f5", 0)], "path string, fingerprint string, parser_version int")
     assert {r.path: r.action for r in reconcile.classify(snap, state).collect()} == {"a": "unchanged", "b": "parse", "c": "withdraw", "d": "skip", "e": "reparse"}

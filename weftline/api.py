@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as tx
 from weftline.operators import aggregates, canonical, filters, graph, handoff, index, lookups, paging, ranking, semantic
 from weftline.operators.redact import embedded
+from weftline.session import cut
 
 
 class EngineError(Exception):
@@ -86,11 +87,11 @@ class Engine:
             filters.validate_search(query, limit, since, until)
         except ValueError as e:
             raise InvalidRequest(str(e)) from e
-        budget, warnings, now = budget or paging.Budget(), [], self.now
+        budget, warnings, now, expires = budget or paging.Budget(), [], self.now, None
         digest = paging.query_digest(query=query, providers=providers, since=since, until=until, repo=repo, sidechain=sidechain, tool=(tool_kind, tool_name), system=include_system, mode=mode, grouped=group_by_session, caller=caller_repo)
         if cursor:
             claims = paging.read_cursor(cursor, digest, self.generation, mode, self.now)
-            offset, now = claims["offset"], datetime.fromisoformat(claims["clock"])
+            offset, now, expires = claims["offset"], datetime.fromisoformat(claims["clock"]), datetime.fromisoformat(claims["expires"])
         view = self._view()
         d = view
         if providers:
@@ -121,14 +122,21 @@ class Engine:
         hits = hits.select("id", "session_id", "role", "text", "ts", "score")
         hits = ranking.best_of_session(hits) if group_by_session else hits.withColumn("occurrences", F.lit(1).cast("bigint"))
         terms = tx.literal_terms(F.lit(query))
-        hits = ranking.page(hits, [F.desc("score"), F.asc("id")], min(limit, budget.max_items), offset)
+        order, most = [F.desc("score"), F.asc("id")], min(limit, budget.max_items)
+        hits = ranking.page(hits, order, most + 1, offset)  # one more tells whether a page follows
         hits = hits.join(self.t.claims.select("session_id", (F.col("id_state") == "resolved").alias("resume_available")), "session_id", "left").select(
             "id", "session_id", "score", "occurrences", F.coalesce("resume_available", F.lit(False)).alias("resume_available"), embedded(tx.snippet(F.col("text"), terms, budget.snippet_chars)).alias("text"),
             tx.why_matched(terms, F.col("text")).alias("why_matched"), handoff.suggestions(F.col("id"), F.col("session_id")).alias("suggested_next_commands"),
         )
+        hits = cut(hits)
         cost = paging.hit_cost(F.col("id"), F.col("session_id"), F.col("text"), F.col("why_matched"), F.col("suggested_next_commands"), F.col("occurrences"))
-        hits = ranking.within_budget(hits, cost, budget.max_bytes - paging.RESERVED, [F.desc("score"), F.asc("id")], budget.max_items).drop("used")
-        return Page(hits, warnings, paging.make_cursor(offset + limit, digest, self.generation, mode, now))
+        kept = ranking.within_budget(hits, cost, budget.max_bytes - paging.RESERVED, order, most).drop("used")
+        # the next page starts after the rows that were kept; there is none after the last row or after a row too large for any page
+        n, n_kept = hits.count(), kept.count()
+        if n and not n_kept:
+            warnings.append("hit_exceeds_budget")
+        more = n > n_kept > 0
+        return Page(kept, warnings, paging.make_cursor(offset + n_kept, digest, self.generation, mode, now, expires) if more else None)
 
     def _repo_table(self) -> DataFrame:
         if self.repos is None:

@@ -80,16 +80,20 @@ def percentiles(df: DataFrame, col: str, groups: list[str], at: tuple[float, ...
     return df.groupBy(*groups).agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})").alias(f"p{round(p * 100)}") for p in at])
 
 
-def content_hash(df: DataFrame, key: list[str]) -> DataFrame:
-    """A digest of the table's contents that does not depend on the order of its rows.
+def content_hash(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows, digest): a digest of each table's contents that does not depend on the order of its rows.
 
-    Row digests are gathered by 4096 prefixes of the key's digest, sorted inside each, and the digests of those are
-    folded once: no task and no string ever holds more than a 4096th of the table's digests.
+    A row is hashed as the JSON of its columns in order of their names; the four 64-bit quarters of the SHA-256 are summed
+    modulo 2**61 - 1, so partial sums combine in any order and equal rows count each. Nothing is gathered or sorted.
     """
-    row = F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
-    d = df.select(F.left(F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key]), 256), F.lit(3)).alias("p"), row.alias("h"))
-    per = d.groupBy("p").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    out = None
+    for name, df in tables.items():
+        d = df.select(F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256).alias("h"))
+        quarter = [F.conv(F.substring("h", 16 * k + 2, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+        one = d.agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(q), F.lit(0)).cast("decimal(38,0)").alias(f"q{k}") for k, q in enumerate(quarter)])
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", F.concat_ws("", *[F.lpad(F.hex((F.col(f"q{k}") % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("bigint")), 16, "0") for k in range(4)]).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def activity_targets(activities: DataFrame, kind: str, status: str | None = None, order: str = "ordinal") -> DataFrame:

@@ -34,7 +34,8 @@ def total_order(df: DataFrame, score: str = "score", id_col: str = "id") -> Data
 def best_of_session(hits: DataFrame, score: str = "score", session: str = "session_id", id_col: str = "id") -> DataFrame:
     """Best hit of each session with the number of hits it stands for; hits without a session stand alone."""
     group = F.coalesce(F.col(session).cast("string"), F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-    best = F.max_by(F.struct(*[F.col(c) for c in hits.columns]), F.struct(F.col(score), -F.col(id_col) if dict(hits.dtypes)[id_col] in ("bigint", "int") else F.hash(id_col)))
+    order = F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("i"))  # the total order: score desc, id asc
+    best = F.min_by(F.struct(*[F.col(c) for c in hits.columns]), order)
     return hits.groupBy(group.alias("_g")).agg(best.alias("h"), F.count(F.lit(1)).alias("occurrences")).select("h.*", "occurrences")
 
 

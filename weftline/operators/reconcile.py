@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import time
-from contextlib import contextmanager
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.aggregates import content_hash
+
 PARSER_VERSION = 1
 
 
@@ -66,77 +66,90 @@ def report(classified: DataFrame, events: DataFrame) -> DataFrame:
     return c.join(e)
 
 
+class Conflict(RuntimeError):
+    """Another commit came first."""
+
+
 class Store:
-    """Versioned tables in a folder: a generation is written whole, then CURRENT is swapped in one rename.
+    """Versioned tables in a folder of any Hadoop file system that driver and executors share.
 
-    Readers resolve CURRENT once. A commit needs the writer lease and the generation it started from; a crash leaves
-    only an unreferenced folder, which ``vacuum`` removes. A commit that changes nothing makes no generation.
+    A commit writes its tables to a folder of its own and then renames its manifest to ``manifests/<generation>.json``,
+    which fails if that generation exists: of two commits that start from one generation the first wins and the other
+    raises, without any lock that could be stolen or left behind. Readers resolve the highest manifest once. A crash
+    leaves only a folder no manifest names, which ``vacuum`` removes. A commit that changes no table makes no generation.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-
-    def manifest(self) -> dict:
-        try:
-            with open(f"{self.root}/CURRENT") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"generation": 0, "tables": {}, "projection_version": 1}
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
     @property
     def generation(self) -> int:
-        return self.manifest()["generation"]
+        return max((int(n[:-5]) for n in self._names("manifests") if n.endswith(".json")), default=0)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.manifest()["tables"][name])
-
-    @contextmanager
-    def lease(self, ttl_s: float = 600.0):
-        path = f"{self.root}/LEASE"
-        try:
-            if time.time() - os.path.getmtime(path) > ttl_s:
-                os.unlink(path)
-        except FileNotFoundError:
-            pass
-        fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    def manifest(self, generation: int | None = None) -> dict:
+        g = self.generation if generation is None else generation
+        if not g:
+            return {"generation": 0, "tables": {}, "digests": {}, "projection_version": 1}
+        stream = self._fs.open(self._path(f"{self.root}/manifests/{g}.json"))
         try:
-            os.write(fd, str(os.getpid()).encode())
-            yield
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
-            os.close(fd)
-            os.unlink(path)
+            stream.close()
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self.manifest()['tables'][name]}")
 
     def commit(self, tables: dict[str, DataFrame], base: int, projection_version: int = 1) -> int:
         """Write and activate all tables or none; raises if the store moved on since ``base``. Returns the generation."""
-        with self.lease():
-            now = self.manifest()
-            if now["generation"] != base:
-                raise RuntimeError(f"the store is at generation {now['generation']}, not {base}")
-            if not tables:
-                return base
-            g = base + 1
-            folder = f"{self.root}/generation={g}"
-            shutil.rmtree(folder, ignore_errors=True)
-            out = dict(now["tables"])
-            for name, d in tables.items():
-                out[name] = f"{folder}/{name}"
-                d.write.mode("overwrite").parquet(out[name])
-            temp = f"{self.root}/CURRENT.{g}"
-            with open(temp, "w") as f:
-                json.dump({"generation": g, "tables": out, "projection_version": projection_version}, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(temp, f"{self.root}/CURRENT")
-            return g
+        now = self.manifest()
+        if now["generation"] != base:
+            raise Conflict(f"the store is at generation {now['generation']}, not {base}")
+        if not tables:
+            return base
+        folder = f"data/{base + 1}-{uuid.uuid4().hex}"
+        out, digests = dict(now["tables"]), dict(now["digests"])
+        for name, d in tables.items():
+            d.write.parquet(f"{self.root}/{folder}/{name}")
+            digest = content_hash({name: self.spark.read.parquet(f"{self.root}/{folder}/{name}")}).first()["digest"]
+            if digests.get(name) != digest:
+                out[name], digests[name] = f"{folder}/{name}", digest
+        if digests == now["digests"] and projection_version == now["projection_version"]:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            return base
+        temp = self._path(f"{self.root}/{folder}/_manifest")
+        stream = self._fs.create(temp, True)
+        stream.write(bytearray(json.dumps({"generation": base + 1, "tables": out, "digests": digests, "projection_version": projection_version}).encode()))
+        stream.close()
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(temp, self._path(f"{self.root}/manifests/{base + 1}.json"), none)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            raise Conflict(f"generation {base + 1} was committed by another writer") from e
+        return base + 1
 
     def vacuum(self) -> list[str]:
-        """Remove generations no table of CURRENT lies in."""
-        used = {p.split("/generation=")[1].split("/")[0] for p in self.manifest()["tables"].values()}
-        gone = [d for d in os.listdir(self.root) if d.startswith("generation=") and d.split("=")[1] not in used]
+        """Remove folders that no table of the present manifest lies in, and the manifests before it. Not to be run
+        beside a commit."""
+        now = self.manifest()
+        used = {p.split("/")[1] for p in now["tables"].values()}
+        gone = sorted(d for d in self._names("data") if d not in used)
         for d in gone:
-            shutil.rmtree(f"{self.root}/{d}")
-        return sorted(gone)
+            self._fs.delete(self._path(f"{self.root}/data/{d}"), True)
+        for n in self._names("manifests"):
+            if n.endswith(".json") and int(n[:-5]) < now["generation"]:
+                self._fs.delete(self._path(f"{self.root}/manifests/{n}"), False)
+        return gone
 
     def fresh(self, wanted: int) -> bool:
         """Projections are current; stale ones must be rebuilt before reading."""

@@ -6,10 +6,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.session import spread
@@ -18,63 +17,88 @@ DIM = 384
 FLOOR = 0.2
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.reduce(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; 0 for vectors of different or no length or of norm zero."""
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (n == 0), F.lit(0.0)).otherwise(dot(a, b) / n)
+def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unit length, and which vectors are comparable: of the wanted length and not of norm zero. Others are zero rows."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy().astype(np.int64)
+    fits = (sizes == dim) & (dim > 0)
+    x = np.zeros((len(vectors), dim))
+    x[fits] = flat[np.repeat(fits, sizes)].reshape(-1, dim) if fits.any() else 0
+    norm = np.linalg.norm(x, axis=1)
+    if not np.isfinite(norm).all():
+        raise ValueError("similarity is not finite")
+    x /= np.where(norm > 0, norm, 1)[:, None]
+    return x, fits & (norm > 0)
 
 
 def topk(vectors: DataFrame, query: list[float], k: int | None, vec: str = "embedding", id_col: str = "vec_id", floor: float | None = None) -> DataFrame:
-    """(id, sim) of the k nearest vectors, with k None of all (unordered); non-finite similarities raise. Filters on ``vectors`` act before the cut."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    s = cosine(F.col(vec), q)
-    d = vectors.select(F.col(id_col).alias("id"), F.when(F.isnan(s), F.raise_error(F.lit("similarity is not finite")).cast("double")).otherwise(s).alias("sim"))
-    if floor is not None:
-        d = d.where(F.col("sim") >= floor)
+    """(id, sim) of the k nearest vectors, with k None of all (unordered). One matrix product a batch; of a batch only
+    the k best go on, so the final top-k sees few rows. Vectors of another length, null or of norm zero have
+    similarity 0; non-finite ones raise. Filters on ``vectors`` act before the cut."""
+    src = vectors.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(query, float)
+        q /= np.linalg.norm(q) or 1
+        for b in batches:
+            x, _ = _matrix(b.column(1), len(q))
+            sim = x @ q
+            keep = np.arange(len(sim)) if floor is None else np.flatnonzero(sim >= floor)
+            if k is not None and len(keep) > k:
+                edge = -np.partition(-sim[keep], k - 1)[k - 1]
+                keep = keep[sim[keep] >= edge - 1e-12]  # all ties of the last go on, the total order decides
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(sim[keep])], names=["id", "sim"])
+
+    d = src.mapInArrow(run, f"id {kind}, sim double")
     return d if k is None else d.orderBy(F.desc("sim"), F.asc("id")).limit(k)
 
 
 def topk_each(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", id_col: str = "vec_id", block: int = 256, max_queries: int = 100_000) -> DataFrame:
-    """(query_id, id, rank, sim) of the k nearest of every query, itself left out.
+    """(query_id, id, rank, sim) of the k nearest of every query, itself left out; ties go to the smaller id.
 
-    Queries are a stated set held in blocks: each task multiplies its rows with one block after another and keeps k
-    per query; the tasks' winners are merged by query. The query set is refused beyond ``max_queries`` vectors.
+    Queries are a stated set held in blocks: each task multiplies its rows with one block after another and keeps a
+    running best k of each query over all its batches; the tasks' winners are merged in two steps, so a row never
+    gathers more than k from each of 64 groups. The query set is refused beyond ``max_queries`` vectors.
     """
-    rows = queries.select(id_col, vec).orderBy(id_col).limit(max_queries + 1).collect()
+    rows = queries.select(id_col, F.col(vec).cast("array<double>").alias("v")).orderBy(id_col).limit(max_queries + 1).collect()
     if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} query vectors")
-    schema = "query_id bigint, id bigint, sim double"
+    spark = vectors.sparkSession
     if not rows:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, rank int, sim double")
+        return spark.createDataFrame([], "query_id bigint, id bigint, rank int, sim double")
+    dim = max(len(r[1] or []) for r in rows)
     qid = np.array([r[0] for r in rows])
-    q = np.array([r[1] for r in rows], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    box = vectors.sparkSession.sparkContext.broadcast((qid, q))
+    q, _ = _matrix(pa.array([r[1] for r in rows], pa.list_(pa.float64())), dim)
+    box = spark.sparkContext.broadcast((qid, q))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = box.value
-        for f in frames:
-            if not len(f):
+        best_id, best = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        for b in batches:
+            if not b.num_rows:
                 continue
-            ids = f[id_col].to_numpy()
-            x = np.stack(f[vec].to_numpy()).astype(float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            ids = b.column(0).to_numpy()
+            x, _ = _matrix(b.column(1), q.shape[1])
+            new_id, new = [], []
             for i in range(0, len(qid), block):
                 s = q[i : i + block] @ x.T
                 s[qid[i : i + block][:, None] == ids[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                sim = np.take_along_axis(s, top, 1)
-                out = pd.DataFrame({"query_id": np.repeat(qid[i : i + block], n), "id": ids[top].ravel(), "sim": sim.ravel()})
-                yield out[np.isfinite(out["sim"])]
-
-    near = vectors.select(id_col, vec).mapInPandas(run, schema)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("n"), "id"))), 1, k)
-    return near.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", F.col("b.id").alias("id"), (F.col("p") + 1).alias("rank"), (-F.col("b.n")).alias("sim"))
+                s = np.concatenate([best[i : i + block], s], 1)
+                who = np.concatenate([best_id[i : i + block], np.broadcast_to(ids, (len(s), len(ids)))], 1)
+                order = np.lexsort((who, -s), axis=1)[:, :k]
+                new_id.append(np.take_along_axis(who, order, 1))
+                new.append(np.take_along_axis(s, order, 1))
+            best_id, best = np.concatenate(new_id), np.concatenate(new)
+        if best.shape[1]:
+            full = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best.shape[1])[full.ravel()]), pa.array(best_id[full]), pa.array(best[full])], names=["query_id", "id", "sim"])
+
+    near = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id IS NOT NULL").mapInArrow(run, "query_id bigint, id bigint, sim double")
+    few = lambda c: F.slice(F.sort_array(c), 1, k)
+    part = near.groupBy("query_id", F.pmod(F.spark_partition_id(), F.lit(64)).alias("g")).agg(few(F.collect_list(F.struct((-F.col("sim")).alias("n"), "id"))).alias("b"))
+    best = part.groupBy("query_id").agg(few(F.flatten(F.collect_list("b"))).alias("b"))
+    return best.select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", F.col("b.id").alias("id"), (F.col("p") + 1).alias("rank"), (-F.col("b.n")).alias("sim"))
 
 
 #: Second half of the pair of a text that has one character only; no code point.

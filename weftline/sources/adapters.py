@@ -176,50 +176,53 @@ def claude(data: bytes) -> Iterator[dict]:
     yield run.report()
 
 
+#: A total is an old one told again if it is at least this per cent of the last, or lacks at most so many turns.
+STALE_PERCENT, STALE_TURNS = 98, 2
+
+
 class UsageDeltas:
-    """Cumulative token counts to increments: a repeated total gives nothing, a fork's first total is its inheritance,
-    and a total that falls back a little is stale."""
+    """Cumulative token counts (input, cached, output, reasoning) to increments.
 
-    KEYS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
+    A repeated total gives nothing, the first count of a fork is what it inherits, and a total that falls back a little
+    was told before. Missing counts are zero; a count that is null, negative or no integer makes the whole object
+    unreadable, and so do counts that are all zero.
+    """
+
+    KEYS = (("input_tokens",), ("cached_input_tokens", "cache_read_input_tokens"), ("output_tokens",), ("reasoning_output_tokens",))
 
     def __init__(self, forked: bool):
-        self.pending, self.base = forked, None
+        self.inherits, self.base = forked, None
 
     @classmethod
     def read(cls, x) -> tuple[int, ...] | None:
         if not isinstance(x, dict):
             return None
-        got = [_count(x.get(k)) for k in cls.KEYS]
-        return None if None in got else tuple(got)
+        given = [[x[k] for k in names if k in x] for names in cls.KEYS]
+        if any(not isinstance(v, int) or isinstance(v, bool) or v < 0 for vs in given for v in vs):
+            return None
+        got = tuple(max(vs, default=0) for vs in given)
+        return got if any(got) else None
 
     def step(self, total: tuple | None, last: tuple | None) -> tuple | None:
-        if self.pending:
-            if total is not None:
-                self.base, self.pending = total, False
+        if self.inherits:
+            self.inherits, self.base = False, total or last or self.base
             return None
-        if total is not None and self.base is not None:
-            if total == self.base:
-                return None
-            t, p = total[0] + total[2], self.base[0] + self.base[2]
-            back = any(a < b for a, b in zip(total, self.base))
+        if total is None:
             if last is not None:
-                n = last[0] + last[2]
-                if back and t > 0 and p > 0 and n > 0 and (t * 100 >= p * 98 or t + 2 * n >= p):
-                    return None
-                self.base = total
-                return last
-            if back:
-                return None
-            step = tuple(a - b for a, b in zip(total, self.base))
-            self.base = total
-            return step
-        if total is not None:
-            self.base = total
-            return last if last is not None else total
-        if last is not None:
-            self.base = tuple(a + b for a, b in zip(self.base, last)) if self.base else last
+                self.base = last if self.base is None else tuple(a + b for a, b in zip(self.base, last))
             return last
-        return None
+        before = self.base
+        if total == before:
+            return None
+        fell = before is not None and any(a < b for a, b in zip(total, before))
+        if fell and (last is None or self._told_before(sum(total), sum(before), sum(last))):
+            return None
+        self.base = total
+        return last or (total if before is None else tuple(a - b for a, b in zip(total, before)))
+
+    @staticmethod
+    def _told_before(now: int, before: int, turn: int) -> bool:
+        return min(now, before, turn) > 0 and (now * 100 >= before * STALE_PERCENT or now + STALE_TURNS * turn >= before)
 
 
 def codex(data: bytes) -> Iterator[dict]:
