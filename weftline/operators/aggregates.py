@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens")
@@ -83,15 +83,22 @@ def percentiles(df: DataFrame, col: str, groups: list[str], at: tuple[float, ...
 def content_hash(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, digest): a digest of each table's contents that does not depend on the order of its rows.
 
-    A row is hashed as the JSON of its columns in order of their names; the four 64-bit quarters of the SHA-256 are summed
-    modulo 2**61 - 1, so partial sums combine in any order and equal rows count each. Nothing is gathered or sorted.
+    A row is the SHA-256 of its columns in order of their names, each framed by its length in bytes; null is a dash, times
+    are microseconds, nested values JSON. The four 60-bit quarters of the digests are summed modulo 2**61 - 1, so partial
+    sums combine in any order and equal rows count each. Nothing is gathered or sorted.
     """
+
+    def text(df: DataFrame, c: str) -> Column:
+        kind = df.schema[c].dataType.typeName()
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("string") if kind.startswith("timestamp") else F.to_json(c) if kind in ("array", "struct", "map") else F.col(c).cast("string")
+
     out = None
     for name, df in tables.items():
-        d = df.select(F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256).alias("h"))
-        quarter = [F.conv(F.substring("h", 16 * k + 2, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+        framed = [F.coalesce(F.concat(F.octet_length(text(df, c)).cast("string"), F.lit(":"), text(df, c)), F.lit("-")) for c in sorted(df.columns)]
+        d = df.select(F.sha2(F.concat_ws(",", *framed), 256).alias("h"))
+        quarter = [F.conv(F.substring("h", 16 * k + 2, 15), 16, 10).cast("decimal(28,0)") for k in range(4)]
         one = d.agg(F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(q), F.lit(0)).cast("decimal(38,0)").alias(f"q{k}") for k, q in enumerate(quarter)])
-        one = one.select(F.lit(name).alias("table_name"), "n_rows", F.concat_ws("", *[F.lpad(F.hex((F.col(f"q{k}") % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("bigint")), 16, "0") for k in range(4)]).alias("digest"))
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", F.concat(*[F.lpad(F.hex((F.col(f"q{k}") % F.lit(2**61 - 1).cast("decimal(38,0)")).cast("bigint")), 16, "0") for k in range(4)]).alias("digest"))
         out = one if out is None else out.unionByName(one)
     return out
 

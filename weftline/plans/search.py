@@ -190,14 +190,6 @@ def redact_messages(spark: SparkSession, d: str) -> DataFrame:
     return spread(m.select("row_id", t.alias("t"))).select("row_id", F.md5(embedded(F.col("t"))).alias("redacted"))
 
 
-def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the ten nearest that carry the query's own label, for each label."""
-    e = table(spark, d, "embeddings")
-    near = semantic.topk_each(e, e.where("vec_id % 50 = 0"), 10)
-    a, b = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), e.select(F.col("vec_id").alias("id"), "label")
-    return near.join(a, "query_id").join(b, "id").groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("ql")).cast("double")), 6).alias("recall"))
-
-
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Of each repository, the longest run of its oldest documents that fits 20,000 bytes."""
     t = documents(spark, d).where("text IS NOT NULL AND repo_slug IS NOT NULL AND ts IS NOT NULL")
@@ -221,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_frequency, search_lexical_and, search_postings, search_phrase_adjacent, search_top_page, search_capped_projection, search_group_by_session, search_rank_signals, search_session_metadata, rrf_fusion, semantic_topk,
-        semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, redact_messages, recall_at_10,
+        semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, redact_messages,
         budget_prefix, list_page, handoff_evidence,
     )
 }
@@ -271,7 +263,6 @@ r AS (SELECT * FROM {_RL[0].format('l')} UNION ALL SELECT * FROM {_RL[0].format(
     "semantic_topk": f"WITH {_Q}, {_SIM} SELECT id, round(s, 6) AS sim FROM sims ORDER BY s DESC, id LIMIT 25",
     "semantic_floor": f"WITH {_Q}, {_SIM} SELECT id, round(s, 6) AS sim FROM sims WHERE s >= 0.2::DOUBLE",
     "semantic_each": f"WITH {_NEAR} SELECT query_id, id, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM near) WHERE rn <= 5",
-    "recall_at_10": f"WITH {_NEAR} SELECT ql AS label, count(*) AS n, round(avg((label = ql)::INT::DOUBLE), 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rn FROM near) WHERE rn <= 10 GROUP BY ql",
     "hybrid_search": f"""WITH {_DOCS}, {_bm25_sql('docs', PROSE)}, {_Q}, {_SIM}, v AS (SELECT id, round(s, 6) AS score FROM (SELECT * FROM sims ORDER BY s DESC, id LIMIT 512)),
 a AS {_RL[0].format('s')}, b AS {_RL[0].format('v')} SELECT id, round(coalesce(0.5::DOUBLE / (60 + a.rank), 0) + coalesce(0.5::DOUBLE / (60 + b.rank), 0), 9) AS score FROM a FULL OUTER JOIN b USING (id)""",
     "bigram_vector": """WITH t AS (SELECT sample_id AS id, lower('passage: ' || sample_text) AS t FROM graded_samples WHERE trim(sample_text) <> ''),

@@ -54,12 +54,13 @@ def message_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grown_window(spark: SparkSession, d: str) -> DataFrame:
-    """Window around the first message of each session within 7 items and 600 characters."""
+    """Window around the message in the middle of each session within 7 items and 600 characters."""
     from pyspark.sql.window import Window
 
     m = messages(spark, d).where("ts IS NOT NULL")
     line = m.select("session_id", "id", "text", (F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "id")) - 1).alias("position"))
-    return graph.grown_window(line, line.where("position = 0"), F.length("text").cast("bigint"), 7, 600).select("session_id", "id", "position")
+    mid = line.groupBy("session_id").agg(F.floor(F.max("position") / 2).cast("int").alias("position"))
+    return graph.grown_window(line, mid, F.length("text").cast("bigint"), 7, 600).select("session_id", "id", "position")
 
 
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -102,27 +103,6 @@ def tool_activities(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("block_name", tools.tool_kind(F.col("block_name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def tool_pairing(spark: SparkSession, d: str) -> DataFrame:
-    """The n-th view of a user paired with the n-th purchase; unpaired views stay unknown."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    a = e.where("event_type = 'view'").select("user_id", "event_id", F.row_number().over(w).alias("n"))
-    b = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("result_id"), F.row_number().over(w).alias("n"))
-    return a.join(b, ["user_id", "n"], "left").select("event_id", "result_id", F.when(F.col("result_id").isNull(), "unknown").otherwise("success").alias("status"))
-
-
-def usage_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Increments of a running value per user; where it falls it starts anew."""
-    from pyspark.sql.window import Window
-
-    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.floor("value").cast("bigint").alias("total"))
-    before = F.lag("total").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    step = F.when(before.isNull() | (F.col("total") < before), F.col("total")).otherwise(F.col("total") - before)
-    return e.withColumn("increment", step).where("increment <> 0").select("event_id", "increment")
-
-
 def _chat_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = messages(spark, d).where("msg_uuid IS NOT NULL").groupBy("session_id", "msg_uuid").agg(F.min_by(F.struct("parent_uuid", "ts", "id"), "id").alias("x"))
     m = m.select("session_id", F.col("msg_uuid").alias("message_id"), F.concat_ws("/", "session_id", "msg_uuid").alias("placement_id"), F.lit("doc").alias("document_id"), F.col("x.id").alias("ordinal"), F.lit(False).alias("is_sidechain"), F.date_format("x.ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts_raw"), F.col("x.parent_uuid").alias("parent"))
@@ -134,10 +114,6 @@ def mainline_walk(spark: SparkSession, d: str) -> DataFrame:
     return graph.mainline(*_chat_graph(spark, d)).select("session_id", "position", "message_id")
 
 
-def branch_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return graph.leaves(*_chat_graph(spark, d)).select("session_id", "message_id", "has_parent")
-
-
 def graph_violations(spark: SparkSession, d: str) -> DataFrame:
     """Chat rows held against a graph whose sessions are the catalogue's: rule and number of breaches."""
     p, e = _chat_graph(spark, d)
@@ -146,12 +122,6 @@ def graph_violations(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dedup_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Messages delivered with differing contents."""
-    m = table(spark, d, "message_rows").where("msg_uuid IS NOT NULL")
-    return m.groupBy("msg_uuid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("msg_content", F.lit("\u0000"))).alias("n_texts")).where("n_texts > 1")
-
-
 def _claims(spark: SparkSession, d: str, col: str) -> DataFrame:
     return table(spark, d, "documents").where(f"source IS NOT NULL AND {col}").select(F.col("source").alias("path"), F.sha2("text", 256).alias("message_id")).distinct()
 
@@ -186,10 +156,6 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.percentiles(table(spark, d, "events"), "value", ["event_type"])
 
 
-def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.content_hash(table(spark, d, "session_catalog").select("session_id", "provider_id", "install_id"), ["session_id"])
-
-
 def activity_targets(spark: SparkSession, d: str) -> DataFrame:
     """Folders of each repository's sessions, in order of first use."""
     a = table(spark, d, "session_catalog").where("repo_slug IS NOT NULL").select(F.col("repo_slug").alias("session_id"), F.lit("file").alias("kind"), F.lit("success").alias("status"), F.col("cwd").alias("target"), F.struct("started_at", "session_id").alias("ordinal"))
@@ -295,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_of_min, first_placement, get_many_ordered, message_contexts, integrity_both_ways, talks, message_window, grown_window, session_summary, session_peek, session_title, latest_activity, repo_totals, status_counts,
-        usage_totals, tool_activities, tool_pairing, usage_delta, mainline_walk, branch_leaves, graph_violations, dedup_conflicts, tombstone_diff, unchanged_detection, matched_sessions, orphan_counts, percentiles, content_hash,
+        usage_totals, tool_activities, mainline_walk, graph_violations, tombstone_diff, unchanged_detection, matched_sessions, orphan_counts, percentiles,
         activity_targets, instant_parse, timestamp_order, url_slug, relocation_preview, resume_commands, resume_claims, provider_matrix, hit_costs, derived_ids, union_of_placements, encoded_tokens, activity_cube,
         revenue_by_nation, stream_tumbling, stream_sliding, stream_sessions,
     )
@@ -324,7 +290,7 @@ ORACLES = {
     "integrity_both_ways": "SELECT coalesce(a.session_id, b.session_id) AS session_id, CASE WHEN b.session_id IS NULL THEN 'missing_right' ELSE 'missing_left' END AS side FROM (SELECT DISTINCT session_id FROM message_rows WHERE session_id IS NOT NULL) a FULL OUTER JOIN (SELECT DISTINCT session_id FROM chat_rows WHERE session_id IS NOT NULL) b ON a.session_id = b.session_id WHERE a.session_id IS NULL OR b.session_id IS NULL",
     "talks": f"WITH {M_SQL} SELECT session_id, talk_no, id FROM (SELECT session_id, id, sum((role = 'user')::INT) OVER (PARTITION BY session_id ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS talk_no FROM m WHERE role IN ('user', 'assistant', 'tool')) WHERE talk_no > 0",
     "message_window": f"{_LINE} SELECT session_id, id, position FROM l JOIN (SELECT session_id, max(position) // 2 AS a FROM l GROUP BY session_id) USING (session_id) WHERE abs(position - a) <= 3",
-    "grown_window": f"{_LINE} SELECT session_id, id, position FROM (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS s FROM l) WHERE position < 7 AND s <= 600",
+    "grown_window": f"{_LINE}, a AS (SELECT l.*, l.position - x.a AS k FROM l JOIN (SELECT session_id, max(position) // 2 AS a FROM l GROUP BY session_id) x USING (session_id)) SELECT session_id, id, position FROM (SELECT *, row_number() OVER w AS i, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM a WINDOW w AS (PARTITION BY session_id ORDER BY abs(k), k > 0)) WHERE i <= 7 AND s <= 600",
     "session_summary": f"WITH {M_SQL} SELECT session_id, arg_min(text, id) FILTER (WHERE role = 'user') AS first_request, count(*) AS message_count, count(*) FILTER (WHERE role = 'user') AS turn_count FROM m GROUP BY session_id",
     "session_peek": f"WITH {M_SQL} SELECT session_id, left(trim(arg_min(text, id), ' '), 200) AS first, left(trim(arg_max(text, id), ' '), 200) AS last FROM m WHERE role = 'user' AND trim(text, ' ') <> '' GROUP BY session_id",
     "session_title": """SELECT c.session_id, left(coalesce(nullif(trim(title, ' '), ''), trim(t, ' ')), 80) AS title FROM session_catalog c LEFT JOIN (
@@ -336,16 +302,10 @@ ORACLES = {
 u AS (SELECT j->>'sessionId' AS session_id, j->'message'->'usage' AS u FROM v WHERE json_type(j->'message'->'usage') = 'OBJECT'),
 n AS (SELECT session_id, coalesce(u->>'input_tokens', '0')::BIGINT AS a, coalesce(u->>'output_tokens', '0')::BIGINT AS b, coalesce(u->>'cache_read_input_tokens', '0')::BIGINT AS c, coalesce(u->>'cache_creation_input_tokens', '0')::BIGINT AS d FROM u)
 SELECT count(DISTINCT session_id) AS sessions, sum(a)::BIGINT AS input_tokens, sum(b)::BIGINT AS output_tokens, sum(c)::BIGINT AS cache_read_tokens, sum(d)::BIGINT AS cache_write_tokens, 0::BIGINT AS reasoning_tokens, count(*) AS observed, 0::BIGINT AS derived FROM n""",
-    "tool_pairing": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase')
-SELECT a.event_id, b.event_id AS result_id, CASE WHEN b.event_id IS NULL THEN 'unknown' ELSE 'success' END AS status FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.n = b.n""",
-    "usage_delta": """WITH t AS (SELECT event_id, floor(value)::BIGINT AS total, lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-SELECT event_id, CASE WHEN p IS NULL OR total < p THEN total ELSE total - p END AS increment FROM t WHERE CASE WHEN p IS NULL OR total < p THEN total ELSE total - p END <> 0""",
     "mainline_walk": f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT g.session_id, g.msg_uuid, g.parent_uuid, 0 AS up, [g.msg_uuid] AS seen FROM g JOIN best USING (session_id, msg_uuid)
  UNION ALL SELECT g.session_id, g.msg_uuid, g.parent_uuid, up + 1, list_append(seen, g.msg_uuid) FROM w JOIN g ON g.session_id = w.session_id AND g.msg_uuid = w.parent_uuid WHERE NOT list_contains(seen, g.msg_uuid))
 SELECT session_id, max(up) OVER (PARTITION BY session_id) - up AS position, msg_uuid AS message_id FROM w""",
-    "branch_leaves": f"WITH {_GRAPH} SELECT session_id, msg_uuid AS message_id, parent_uuid IS NOT NULL AS has_parent FROM leaf",
     "graph_violations": f"WITH {_GRAPH} SELECT 'placement_session_unknown' AS rule, count(*) AS n FROM g WHERE session_id NOT IN (SELECT session_id FROM session_catalog) HAVING count(*) > 0",
-    "dedup_conflicts": "SELECT msg_uuid, count(*) AS n, count(DISTINCT coalesce(msg_content, chr(1))) AS n_texts FROM message_rows WHERE msg_uuid IS NOT NULL GROUP BY msg_uuid HAVING count(DISTINCT coalesce(msg_content, chr(1))) > 1",
     "tombstone_diff": """WITH o AS (SELECT DISTINCT source AS path, sha256(text) AS h FROM documents WHERE source IS NOT NULL), n AS (SELECT DISTINCT source AS path, sha256(text) AS h FROM documents WHERE source IS NOT NULL AND (doc_id % 10 <> 7 OR source = 'prompt'))
 SELECT DISTINCT h AS message_id FROM o WHERE h NOT IN (SELECT h FROM n)""",
     "unchanged_detection": """SELECT CASE WHEN doc_id % 11 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'skip' ELSE 'withdraw' END WHEN length(text) = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'skip' ELSE 'withdraw' END WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'parse' WHEN doc_id % 3 = 0 THEN 'reparse' ELSE 'unchanged' END AS action, count(*) AS n
