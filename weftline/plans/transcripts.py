@@ -248,6 +248,6 @@ SELECT session_id, link_id::VARCHAR AS placement_id, message_id, parent IS NOT N
     "parent_resolution": f"""WITH {_P}, r AS (SELECT c.link_id, c.session_id, count(q.link_id) AS n, min(q.link_id::VARCHAR) AS one, count(q.link_id) FILTER (WHERE q.document_id = c.document_id) AS same, min(q.link_id::VARCHAR) FILTER (WHERE q.document_id = c.document_id) AS near
  FROM p c LEFT JOIN p q ON q.session_id = c.session_id AND q.message_id = c.parent WHERE c.parent IS NOT NULL GROUP BY ALL)
 SELECT link_id::VARCHAR AS placement_id, session_id, CASE WHEN n = 1 THEN one WHEN n > 1 AND same = 1 THEN near END AS parent_placement_id, n > 1 AND same <> 1 AS ambiguous FROM r""",
-    "recall_at_10": f"SELECT w.query_id, round(count(f.rank) / count(*), 6) AS recall FROM {_near('embedding')} w LEFT JOIN {_near('embedding[1:32]')} f ON w.query_id = f.query_id AND w.id = f.id GROUP BY w.query_id",
+    "recall_at_10": f"WITH w AS MATERIALIZED {_near('embedding')}, f AS MATERIALIZED {_near('embedding[1:32]')} SELECT w.query_id, round(sum(CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.query_id = w.query_id AND f.id = w.id) THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM w GROUP BY w.query_id",
     "content_hash": " UNION ALL ".join(_hash_sql(n, c) for n, c in _HASHED.items()),
 }
