@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from weftline.functions import text as tx
 from weftline.operators import filters, index, ranking, semantic
 from weftline.operators.redact import embedded
-from weftline.session import spread, table
+from weftline.session import scratch, spread, table
 
 QUERY = "rate limit"
 PHRASE = "retry.py"
@@ -34,30 +34,53 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang", "repo_slug", F.col("created_at").cast("timestamp").alias("ts"))
 
 
+_INDEXES: dict[tuple[str, str, str], index.Index] = {}
+
+
+def indexed(spark: SparkSession, d: str, corpus: str) -> index.Index:
+    """The persisted index of a corpus, built on first use in the shared folder and then read by every search."""
+    key = (spark.sparkContext.applicationId, d, corpus)
+    if key not in _INDEXES:
+        m = {
+            "messages": lambda: messages(spark, d), "visible": lambda: messages(spark, d).where(filters.visible(F.col("role"))), "documents": lambda: documents(spark, d), "whole": lambda: documents(spark, d),
+            "sessions": lambda: index.session_documents(table(spark, d, "session_catalog"), messages(spark, d)),
+        }[corpus]()
+        _INDEXES[key] = index.Index.build(m, f"{scratch(spark)}/{corpus}", cap=None if corpus == "whole" else tx.INDEX_CHARS)
+    return _INDEXES[key]
+
+
 def token_frequency(spark: SparkSession, d: str) -> DataFrame:
     w = messages(spark, d).select(F.explode(tx.words(tx.cjk_tokens(tx.bounded_index_text(F.col("text"))))).alias("term"))
     return w.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_lexical_and(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d, "visible").bm25(QUERY).select("id", F.round("score", 6).alias("score"))
+
+
+def search_unindexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a frame that has no index."""
     m = messages(spark, d).where(filters.visible(F.col("role")))
     return index.bm25(m, QUERY).select("id", F.round("score", 6).alias("score"))
 
 
+def search_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A search over an index without the cap on characters."""
+    return indexed(spark, d, "whole").bm25(QUERY).select("id", F.round("score", 6).alias("score"))
+
+
 def search_postings(spark: SparkSession, d: str) -> DataFrame:
     """The same match through the inverted index: ids and term counts."""
-    post = index.postings(messages(spark, d))
-    return index.match_all(post, QUERY).select("id", F.reduce(F.map_values("tfs"), F.lit(0), lambda a, x: a + x).cast("bigint").alias("n"))
+    return indexed(spark, d, "messages").match(QUERY).select("id", (F.col("tf0") + F.col("tf1")).cast("bigint").alias("n"))
 
 
 def search_phrase_adjacent(spark: SparkSession, d: str) -> DataFrame:
-    return index.match_all(index.postings(documents(spark, d).where("text IS NOT NULL")), PHRASE).select("id")
+    return indexed(spark, d, "documents").match(PHRASE).select("id")
 
 
 def search_top_page(spark: SparkSession, d: str) -> DataFrame:
     """Third page of twenty of the total order."""
-    m = messages(spark, d).where(filters.visible(F.col("role")))
-    hits = index.bm25(m, QUERY).select("id", F.round("score", 6).alias("score"))
+    hits = indexed(spark, d, "visible").bm25(QUERY).select("id", F.round("score", 6).alias("score"))
     return ranking.page(hits, [F.desc("score"), F.asc("id")], 20, 40)
 
 
@@ -68,7 +91,7 @@ def search_capped_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def search_group_by_session(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d)
-    hits = index.bm25(m, QUERY).select("id", F.round("score", 6).alias("score")).join(m.select("id", "session_id"), "id")
+    hits = indexed(spark, d, "messages").bm25(QUERY).select("id", F.round("score", 6).alias("score")).join(m.select("id", "session_id"), "id")
     return ranking.best_of_session(hits.select("id", "session_id", "score"))
 
 
@@ -81,14 +104,13 @@ def search_rank_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def search_session_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Sessions found by their folder or first request, each shown by its standing message."""
-    m = messages(spark, d)
-    return index.bm25(index.session_documents(table(spark, d, "session_catalog"), m), QUERY).select("id", F.round("score", 6).alias("score"))
+    return indexed(spark, d, "sessions").bm25(QUERY).select("id", F.round("score", 6).alias("score"))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     t = documents(spark, d).where("text IS NOT NULL")
     a = index.rrf_rank(t.select("id", F.length("text").alias("score")), window=512)
-    b = index.rrf_rank(index.bm25(t, PROSE).select("id", F.round("score", 6).alias("score")), window=512)
+    b = index.rrf_rank(indexed(spark, d, "documents").bm25(PROSE).select("id", F.round("score", 6).alias("score")), window=512)
     return index.rrf([(a, 1.0), (b, 1.0)]).select("id", F.round("score", 9).alias("score"))
 
 
@@ -112,8 +134,7 @@ def semantic_each(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    t = documents(spark, d).where("text IS NOT NULL")
-    lex = index.rrf_rank(index.bm25(t, PROSE).select("id", F.round("score", 6).alias("score")), window=512)
+    lex = index.rrf_rank(indexed(spark, d, "documents").bm25(PROSE).select("id", F.round("score", 6).alias("score")), window=512)
     sem = index.rrf_rank(semantic.topk(e, _query_vector(spark, d), 512).select("id", F.round("sim", 6).alias("score")), window=512)
     return semantic.dedup_hybrid(lex, sem).select("id", F.round("score", 9).alias("score"))
 
@@ -204,7 +225,7 @@ def handoff_evidence(spark: SparkSession, d: str) -> DataFrame:
     from weftline.operators.handoff import evidence
 
     t = documents(spark, d).where("text IS NOT NULL")
-    hits = index.bm25(t, PROSE).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    hits = indexed(spark, d, "documents").bm25(PROSE).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(50)
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).join(t.select("id", "text", F.col("source").alias("session_id")), "id")
     return evidence(ranked.withColumn("document_id", F.col("id").cast("string")), 20, 4000).select("id", "rank", "tokens", F.col("used_tokens"))
 
@@ -212,7 +233,7 @@ def handoff_evidence(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_frequency, search_lexical_and, search_postings, search_phrase_adjacent, search_top_page, search_capped_projection, search_group_by_session, search_rank_signals, search_session_metadata, rrf_fusion, semantic_topk,
+        token_frequency, search_lexical_and, search_unindexed, search_whole_texts, search_postings, search_phrase_adjacent, search_top_page, search_capped_projection, search_group_by_session, search_rank_signals, search_session_metadata, rrf_fusion, semantic_topk,
         semantic_floor, semantic_each, hybrid_search, bigram_vector, bigram_messages, message_vectors, filter_provider_time, filter_repo, facet_main_only, facet_subagent_only, snippet_window, why_matched, cjk_tokens, token_estimate, redact_text, redact_messages,
         budget_prefix, list_page, handoff_evidence,
     )
@@ -246,6 +267,8 @@ w AS (SELECT unnest(regexp_extract_all(regexp_replace(t, '[{_H}]+', ' ', 'g'), '
  UNION ALL SELECT unnest(list_transform(range(1, length(r) + 1), lambda i: substring(r, i, 1))) FROM h UNION ALL SELECT unnest(list_transform(range(1, length(r)), lambda i: substring(r, i, 2))) FROM h)
 SELECT term, count(*) AS n FROM w GROUP BY term""",
     "search_lexical_and": f"WITH {M_SQL}, v AS (SELECT * FROM m WHERE {_VIS}), {_bm25_sql('v', QUERY)} SELECT id, score FROM s",
+    "search_unindexed": f"WITH {M_SQL}, v AS (SELECT * FROM m WHERE {_VIS}), {_bm25_sql('v', QUERY)} SELECT id, score FROM s",
+    "search_whole_texts": f"WITH {_DOCS}, {_bm25_sql('docs', QUERY).replace('left(text, 16000)', 'text')} SELECT id, score FROM s",
     "search_top_page": f"WITH {M_SQL}, v AS (SELECT * FROM m WHERE {_VIS}), {_bm25_sql('v', QUERY)} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20 OFFSET 40",
     "search_postings": rf"""WITH {M_SQL}, t AS (SELECT id, regexp_extract_all(regexp_replace(lower(left(text, 16000)), '[{_H}]+', ' ', 'g'), '[\p{{L}}\p{{N}}]+') AS w FROM m)
 SELECT id, len(list_filter(w, lambda x: x IN ('rate', 'limit'))) AS n FROM t WHERE list_contains(w, 'rate') AND list_contains(w, 'limit')""",
