@@ -132,9 +132,12 @@ def test_empty(spark):
     assert hierarchy.hierarchy(none).count() == 0 and hierarchy.hierarchy(none, with_path=True, with_sizes=True).count() == 0 and hierarchy.intervals(none).count() == 0
 
 
-def test_hot_days_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_hot_sessions_are_dealt_out(spark, monkeypatch, most):
     monkeypatch.setattr(hierarchy, "HOT_ROWS", 7)
+    monkeypatch.setattr(hierarchy, "MOST_EXITS", most)
+    monkeypatch.setattr(hierarchy, "MOST_HOT", most)
     t0 = datetime(2026, 1, 1)
-    rows = [(i, f"c{i}", f"c{i - 1}" if i else None, "s" if i % 3 else None, False, t0 if i % 5 else None, "") for i in range(120)]
+    rows = [(i, f"c{i}", f"c{i - 1}" if i else None, "s" if i % 3 else None, False, t0 + timedelta(days=i // 9) if i % 5 else None, "") for i in range(120)]
     got = {r.msg_uuid: (r.root_uuid, r.node_depth) for r in hierarchy.hierarchy(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)

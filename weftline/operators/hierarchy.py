@@ -1,8 +1,8 @@
 """Problem 4: parent-child links of unknown depth to rooted hierarchies.
 
 1. Current row of each message: the link with the latest ``seen_at`` (ties: largest ``link_id``), ids in lower case.
-2. Partition-local contraction: rows are placed by (session, day), so a chain mostly lies in one partition and a
-   session holding a large share of all rows still spreads over its days. Each partition follows its own parent
+2. Partition-local contraction: rows are placed by session, so a chain mostly lies in one partition; a session too large
+   for one task is dealt out by its days. Each partition follows its own parent
    chains by pointer doubling to the node where they leave it (the fragment exit), end at a root, or close a loop.
 3. Quotient forest: one node per fragment that leaves its partition or is entered from another, pointing to the fragment
    its exit lies in. It is solved by the same function, recursively, until nothing leaves a partition any more. A quotient
@@ -38,10 +38,11 @@ ROOT, EXIT, LOOP = 0, 1, 2
 SEP = "/"
 #: Nodes that a task of the contraction takes.
 ROWS_PER_TASK = 200_000
-#: Rows of one session and day that are kept together.
+#: Rows of one session that are kept together.
 HOT_ROWS = 100_000
-#: Most hot sessions and days whose list is broadcast.
+#: Most hot sessions whose list is broadcast, and most exits (some twenty MB).
 MOST_HOT = 100_000
+MOST_EXITS = 200_000
 
 
 def current_links(links: DataFrame) -> DataFrame:
@@ -169,6 +170,11 @@ def _solve(nodes: DataFrame, n_parts: int, with_path: bool, with_sizes: bool, ro
     # where do the exits lead?
     tops = leaves.where(F.col("id") == F.col("top")).select("top", "exit", "exit_w", "part", *(["top_own", "top_tall"] if with_sizes else []))
     landing = frag.select(F.col("id").alias("exit"), F.col("top").alias("x_top"), F.col("dist").alias("x_dist"), F.col("kind").alias("x_kind"), F.col("part").alias("x_part"))
+    # the list of exits is as long as the quotient: up to a checked size it goes to the nodes, beyond it they meet by id
+    exits = tops.select("exit").distinct()
+    few = tops.count() <= MOST_EXITS
+    if few:
+        landing = landing.join(F.broadcast(exits), "exit", "left_semi")
     landed = cut(tops.join(landing, "exit", "left"))
     # an exit to an id that is no message makes its top a root
     far = landed.select(F.col("top").alias("id"), F.col("x_top").alias("parent"), F.coalesce(F.col("exit_w") + F.col("x_dist"), F.lit(0).cast("bigint")).alias("w"), F.lit(False).alias("lost"), F.col("exit"), *([F.col("top_own").alias("own"), F.col("top_tall").alias("tall")] if with_sizes else []))
@@ -176,11 +182,8 @@ def _solve(nodes: DataFrame, n_parts: int, with_path: bool, with_sizes: bool, ro
     ends = frag.where((F.col("id") == F.col("top")) & (F.col("kind") != EXIT)).join(entered, "id", "left_semi")
     ends = ends.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("w"), (F.col("kind") == LOOP).alias("lost"), *([F.col("top_own").alias("own"), F.col("top_tall").alias("tall")] if with_sizes else []))
     if with_path:
-        # the steps down to the exit; the list of exits is as long as the quotient, and goes out as a broadcast only up to a checked size
-        steps = frag.select(F.col("id").alias("exit"), F.col("path").alias("seg"))
-        exits = landed.select("exit").distinct()
-        exits = F.broadcast(exits) if exits.count() <= ROWS_PER_TASK else exits
-        far = far.join(steps.join(exits, "exit", "left_semi"), "exit", "left").withColumn("seg", F.coalesce("seg", F.lit("")))
+        steps = frag.select(F.col("id").alias("exit"), F.col("path").alias("seg"))  # from the top down to the exit
+        far = far.join(steps.join(F.broadcast(exits) if few else exits, "exit", "left_semi"), "exit", "left").withColumn("seg", F.coalesce("seg", F.lit("")))
         ends = ends.withColumn("seg", F.lit(""))
     quotient = cut(far.drop("exit").unionByName(ends))
     n = quotient.count()
@@ -214,17 +217,18 @@ def _united(base: DataFrame, fragments: DataFrame | None, hung: DataFrame | None
 
 
 def _placed(links: DataFrame, rows_per_task: int) -> tuple[DataFrame, int]:
-    """Current links in partitions of (session, day); a session and day too large for one task is dealt out further."""
+    """Current links in partitions of sessions; a session too large for one task is dealt out by its days."""
     nodes = current_links(links)
-    hot = links.groupBy("session_id", F.to_date("seen_at").alias("day")).count().where(F.col("count") > min(HOT_ROWS, rows_per_task))
-    hot = hot.select(F.col("session_id").alias("h_session"), F.col("day").alias("h_day"), F.ceil(F.col("count") / min(HOT_ROWS, rows_per_task)).alias("deals"))
+    most = min(HOT_ROWS, rows_per_task)
+    hot = links.groupBy("session_id").count().where(F.col("count") > most)
+    hot = hot.select(F.col("session_id").alias("h_session"), F.ceil(F.col("count") / most).alias("deals"))
     n_hot = hot.limit(MOST_HOT + 1).count()
     deal = F.lit(0)
     if n_hot:
-        nodes = nodes.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, F.col("session_id").eqNullSafe(F.col("h_session")) & F.col("day").eqNullSafe(F.col("h_day")), "left")
-        deal = F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1)))
+        nodes = nodes.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, F.col("session_id").eqNullSafe(F.col("h_session")), "left")
+        deal = F.when(F.col("deals").isNotNull(), F.pmod(F.xxhash64("day"), F.col("deals")))
     n_parts = max(parts(links.sparkSession), -(-links.count() // rows_per_task))
-    placed = nodes.repartition(n_parts, F.col("session_id"), F.col("day"), deal)
+    placed = nodes.repartition(n_parts, F.col("session_id"), deal)
     return placed.select("id", "parent", F.lit(1).cast("bigint").alias("w"), F.lit(False).alias("lost")), n_parts
 
 
