@@ -3,8 +3,8 @@
 The models are trained on the labelled samples (a table of fixed size; more than ``max_samples`` rows are refused,
 so the bound on what reaches the driver is a parameter). A text is reduced to its prose: fenced and indented code,
 log lines, commands, query and configuration lines, headings and list marks are left out. The level is the one with
-the highest posterior likelihood over all languages at once, so the text's own ``lang`` is not needed. Word counts
-of a batch are one sparse matrix product with the log-likelihood table; nothing is shuffled.
+the highest posterior likelihood over all languages at once, so the text's own ``lang`` is not needed. Log-likelihoods
+of a batch are gathers from one table and segmented sums; nothing is shuffled.
 
 Defined results: null texts, texts that are code or logs (less prose than ``least_prose`` of their letters) and
 near-empty texts (fewer than ``least_units`` words or Chinese characters of prose) have a null level; repeated
@@ -14,11 +14,11 @@ texts count each; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,16 @@ _FENCE = re.compile(r"^\s*(```|~~~)")
 _LOG = re.compile(r"^\s*(?:\[?\d{1,2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|(?:ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b)")
 _CODE = re.compile(
     r"^\s*(?:\$ |> ?\$|#!|//|/\*|\*/|@\w+$|(?:def|class|fn|pub|func|import|from \S+ import|return|yield|let|const|var|if|for|while|else|elif|try|except|match|struct|enum|impl|use|package)\b.*[:;{}()]\s*$|"
-    r"(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|FROM|WHERE|GROUP BY|ORDER BY|LIMIT|JOIN|SET|VALUES)\b|\[[\w.\-]+\]\s*$|[\w.\-]+\s*=\s*\S|[\w.\-]+:\s*(?:[\w\"'\[{./\-]+)\s*$|[{}()\[\];,]+\s*$|.*[;{}]\s*$|shard \d+ )"
+    r"(?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|FROM|WHERE|GROUP BY|ORDER BY|LIMIT|JOIN|SET|VALUES)\b|\[[\w.\-]+\]\s*$|[\w.\-]+\s*=\s*\S|[\w.\-]+:\s*(?:[\w\"'\[{./\-]+)\s*$|[{}()\[\];,]+\s*$|.*[;{}]\s*$)"
 )
 _HEAD = re.compile(r"^\s*#{1,6}\s[^.!?。！？]{0,100}$|^\s*(?:[-=*_]\s*){3,}$")
 _MARK = re.compile(r"^\s*(?:#{1,6}|[-*•+>]|\d{1,3}[.)])\s+")
+_MARKS = set("#-*•+>0123456789")
 _SPEAKER = re.compile(r"^\s*(?:\*\*)?(?:user|assistant|system|human|ai|tool|q|a|用户|助手)(?:\*\*)?\s*[:：]\s*", re.I)
 _PATH = re.compile(r"`[^`\n]*`|https?://\S+|(?:[\w.\-]+/)+[\w.\-]+")
-_WORD = re.compile(rf"[{HAN}]+|[^\W\d_{HAN}]+(?:['’][^\W\d_]+)?")
+_ALNUM = re.compile(r"[^\W_]+")
+_HAN_RUN = re.compile(f"[{HAN}]+")
+_WORD = re.compile(rf"[^\W\d_{HAN}]+(?:['’][^\W\d_]+)?")
 
 
 def prose(text: str) -> str:
@@ -48,23 +51,35 @@ def prose(text: str) -> str:
             continue
         if fenced or not line.strip() or line.startswith(("    ", "\t")) or _HEAD.match(line) or _LOG.match(line):
             continue
-        line = _SPEAKER.sub("", _MARK.sub("", line))
+        if line.lstrip()[0] in _MARKS:
+            line = _MARK.sub("", line)
+        if ":" in line[:24] or "：" in line[:24]:
+            line = _SPEAKER.sub("", line)
         if _CODE.match(line) or _LOG.match(line):
             continue
-        out.append(_PATH.sub(" ", line))
+        out.append(_PATH.sub(" ", line) if "/" in line or "`" in line else line)
     return "\n".join(out)
 
 
+def _letters(text: str) -> int:
+    return sum(map(len, _ALNUM.findall(text)))
+
+
+def _units(text: str) -> tuple[list[str], int]:
+    """Units of a text and how many of them are words or single Chinese characters."""
+    low = text.lower()
+    out, pairs = [], 0
+    for run in _HAN_RUN.findall(low):
+        out += run
+        out += map(str.__add__, run, run[1:])
+        pairs += len(run) - 1
+    out += _WORD.findall(low)
+    return out, len(out) - pairs
+
+
 def units(text: str) -> list[str]:
     """Lower-case words; of Chinese, characters and pairs of characters."""
-    out = []
-    for w in _WORD.findall(text):
-        if "㐀" <= w[0] <= "鿿" or "豈" <= w[0]:
-            out += w
-            out += [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            out.append(w.lower())
-    return out
+    return _units(text)[0]
 
 
 class LevelModel:
@@ -90,26 +105,40 @@ class LevelModel:
         self.levels = np.array([c[1] for c in self.classes])
 
     def score(self, texts: list[str | None], least_units: int, least_prose: float) -> list[tuple[int | None, float | None, int]]:
-        """(level, posterior of level >= 4, number of prose units) of each text."""
-        out = []
-        scale = sorted(set(self.levels.tolist()))
+        """(level, posterior of level >= 4, number of prose units) of each text. Log-likelihoods of many texts are summed
+        by one gather and one segmented sum over the table."""
+        out: list[tuple[int | None, float | None, int]] = []
+        get, judged, ids, ends = self.index.get, [], [], []
         for t in texts:
             body = prose(t) if t else ""
-            u = units(body)
-            size = sum(1 for x in u if len(x) == 1 or x[0] < "㐀")
-            letters = sum(map(str.isalnum, t)) if t else 0
-            if size < least_units or not len(self.classes) or sum(map(str.isalnum, body)) < least_prose * letters:
-                out.append((None, None, size))
+            u, size = _units(body)
+            out.append((None, None, size))
+            if size < least_units or not len(self.classes):
                 continue
-            ids = [self.index[x] for x in u if x in self.index]
-            if not ids:
-                out.append((None, None, size))
+            # letters are counted one by one only where the words alone don't decide
+            if sum(map(len, u)) < 3 * least_prose * len(t) and _letters(body) < least_prose * _letters(t):
                 continue
-            like = self.table[ids].sum(0)
-            post = np.exp(like - like.max())
-            post /= post.sum()
-            by = [post[self.levels == k].sum() for k in scale]
-            out.append((int(scale[int(np.argmax(by))]), float(post[self.levels >= 4].sum()), size))
+            own = [i for i in map(get, u) if i is not None]
+            if own:
+                judged.append(len(out) - 1)
+                ids += own
+                ends.append(len(ids))
+        if not judged:
+            return out
+        scale = np.unique(self.levels)
+        starts, at = [0, *ends[:-1]], np.array(ids)
+        like = np.empty((len(judged), self.table.shape[1]))
+        k = 0
+        while k < len(judged):  # some 100,000 units at a time
+            j = max(k + 1, bisect_right(ends, starts[k] + 100_000))
+            like[k:j] = np.add.reduceat(self.table[at[starts[k] : ends[j - 1]]], np.array(starts[k:j]) - starts[k], axis=0)
+            k = j
+        post = np.exp(like - like.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        by = np.stack([post[:, self.levels == x].sum(1) for x in scale], 1)
+        best, hard = scale[by.argmax(1)], post[:, self.levels >= 4].sum(1)
+        for i, level, p in zip(judged, best.tolist(), hard.tolist()):
+            out[i] = (level, p, out[i][2])
         return out
 
 
