@@ -2,7 +2,7 @@
 
 Placements: session_id, placement_id, message_id, document_id, ordinal, is_sidechain, ts_raw. Edges:
 child_placement_id, parent_message_id. The mainlines of all sessions are found together, by vectorised walks inside
-partitions of (session, day); a session of any length is never in one task.
+partitions of sessions; a session too large for one task is cut into its days.
 """
 
 from __future__ import annotations
@@ -74,9 +74,19 @@ def chosen_leaf(placements: DataFrame, edges: DataFrame) -> DataFrame:
     return lf.unionByName(al).groupBy("session_id").agg(F.max(F.struct("p", "o")).alias("b")).select("session_id", F.col("b.o.placement_id").alias("placement_id"))
 
 
-def _bucket(ts_raw: str = "ts_raw") -> Column:
-    """Placements of a session are kept together by day, so that a long session spreads over its days."""
-    return F.coalesce(F.left(F.col(ts_raw), F.lit(10)), F.lit(""))
+#: Placements of one session that are kept together, and most sessions beyond it whose list is broadcast.
+HOT_ROWS = 100_000
+MOST_HOT = 100_000
+
+
+def _bucketed(placements: DataFrame) -> DataFrame:
+    """Add ``bucket``: empty, or the day in sessions of more than HOT_ROWS placements, so that a long session spreads over its days."""
+    hot = placements.groupBy("session_id").count().where(F.col("count") > HOT_ROWS).select("session_id", F.lit(True).alias("_hot"))
+    n = hot.limit(MOST_HOT + 1).count()
+    if not n:
+        return placements.withColumn("bucket", F.lit(""))
+    d = placements.join(F.broadcast(hot) if n <= MOST_HOT else hot, "session_id", "left")
+    return d.withColumn("bucket", F.when(F.col("_hot"), F.coalesce(F.left("ts_raw", F.lit(10)), F.lit(""))).otherwise("")).drop("_hot")
 
 
 def resolved_parents(placements: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,7 +94,8 @@ def resolved_parents(placements: DataFrame, edges: DataFrame) -> DataFrame:
     none, the only one, or of several the only one in the child's document."""
     e = edges.select(F.col("child_placement_id").alias("placement_id"), "parent_message_id")
     child = placements.select("placement_id", "session_id", F.col("document_id").alias("doc")).join(e, "placement_id")
-    up = placements.select("session_id", F.col("message_id").alias("parent_message_id"), F.struct(F.col("placement_id").alias("id"), _bucket().alias("bucket")).alias("pp"), "document_id")
+    bucket = F.col("bucket") if "bucket" in placements.columns else F.lit("")
+    up = placements.select("session_id", F.col("message_id").alias("parent_message_id"), F.struct(F.col("placement_id").alias("id"), bucket.alias("bucket")).alias("pp"), "document_id")
     j = child.join(up, ["session_id", "parent_message_id"], "left").groupBy("placement_id", "session_id").agg(
         F.count("pp").alias("n"), F.min("pp").alias("one"), F.count(F.when(F.col("document_id") == F.col("doc"), 1)).alias("same"), F.min(F.when(F.col("document_id") == F.col("doc"), F.col("pp"))).alias("near")
     )
@@ -130,13 +141,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mainline(placements: DataFrame, edges: DataFrame) -> DataFrame:
     """(session_id, position, placement_id, message_id, ambiguous): the branch of the chosen leaf, root first, from 0.
 
-    Placements lie by (session, day); every partition walks all its branches upward at once, and only branches that go
-    on in another day take a further round, with just the placements of their sessions. A loop ends at the first
-    placement seen again. ``ambiguous`` marks a placement whose parent could not be told.
+    Placements lie by session; every partition walks all its branches upward at once. Only in sessions cut into days
+    can a branch go on elsewhere and take a further round, with just the placements of their sessions. A loop ends at
+    the first placement seen again. ``ambiguous`` marks a placement whose parent could not be told.
     """
     n = parts(placements.sparkSession)
+    placements = _bucketed(placements)
     par = resolved_parents(placements, edges)
-    nodes = cut(placements.select("session_id", "placement_id", "message_id", _bucket().alias("bucket")).join(par.drop("session_id"), "placement_id", "left"))
+    nodes = cut(placements.select("session_id", "placement_id", "message_id", "bucket").join(par.drop("session_id"), "placement_id", "left"))
     leaf = chosen_leaf(placements, edges)
     entries = nodes.select("session_id", "placement_id", "bucket").join(leaf.select("placement_id"), "placement_id", "left_semi").select("session_id", "bucket", F.col("placement_id").alias("id"), F.lit(0).cast("bigint").alias("up"))
     base = nodes.select("session_id", "bucket", F.col("placement_id").alias("id"), F.col("parent_placement_id").alias("parent"), "parent_bucket", F.lit(None).cast("bigint").alias("up"))
