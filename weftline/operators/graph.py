@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.instant import order_key
+from weftline.operators.ranks import running_sum
 from weftline.session import cut, parts
 
 
@@ -164,7 +165,8 @@ def mainline(placements: DataFrame, edges: DataFrame) -> DataFrame:
         entries = step.where("is_exit").select("session_id", "bucket", "id", "up").join(line.select(F.col("placement_id").alias("id")), "id", "left_anti").select("session_id", "bucket", "id", "up")
         if entries.isEmpty():
             break
-        here = base.join(entries.select("session_id").distinct(), "session_id", "left_semi")
+        # without the placements already on the line, so that a walk that meets its own line leaves it as an exit and ends
+        here = base.join(entries.select("session_id").distinct(), "session_id", "left_semi").join(line.select(F.col("placement_id").alias("id")), "id", "left_anti").select(*base.columns)
     top = line.groupBy("session_id").agg(F.max("up").alias("top"))
     out = line.join(top, "session_id").join(nodes.select("placement_id", "message_id", "ambiguous"), "placement_id")
     return out.select("session_id", (F.col("top") - F.col("up")).alias("position"), "placement_id", "message_id", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
@@ -174,12 +176,12 @@ def full_order(placements: DataFrame) -> DataFrame:
     return placements.orderBy("session_id", placement_order())
 
 
-def talks(line: DataFrame, order: str = "position", role: str = "role", session: str = "session_id") -> DataFrame:
+def talks(line: DataFrame, order: str = "position", role: str = "role", session: str = "session_id", stretch: int = 10_000) -> DataFrame:
     """Add talk_no: each user message opens a talk, assistant and tool messages join it; what precedes the first user
-    message and all other roles fall away."""
-    w = Window.partitionBy(session).orderBy(order)
+    message and all other roles fall away. Sessions are counted in stretches of ``stretch`` of the numeric ``order``."""
     d = line.where(F.col(role).isin("user", "assistant", "tool"))
-    return d.withColumn("talk_no", F.sum((F.col(role) == "user").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).where("talk_no > 0")
+    d = running_sum(d, [session], [order], (F.col(role) == "user").cast("bigint"), F.floor(F.col(order) / stretch), "talk_no")
+    return d.withColumn("talk_no", F.col("talk_no").cast("bigint")).where("talk_no > 0")
 
 
 def window_around(line: DataFrame, anchors: DataFrame, around: int, order: str = "position", session: str = "session_id") -> DataFrame:

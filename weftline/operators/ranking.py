@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.ranks import running_sum
+
 #: Fixed values of the final lexical score.
 UNIT = 1.0 / 61.0
 HALF_LIFE_DAYS, FLOOR = 30.0, 0.3
@@ -39,12 +41,19 @@ def best_of_session(hits: DataFrame, score: str = "score", session: str = "sessi
     return hits.groupBy(group.alias("_g")).agg(best.alias("h"), F.count(F.lit(1)).alias("occurrences")).select("h.*", "occurrences")
 
 
-def within_budget(df: DataFrame, cost: Column, budget: int, order: list, max_items: int | None = None, groups: list[str] | None = None) -> DataFrame:
+def within_budget(df: DataFrame, cost: Column, budget: int, order: list, max_items: int | None = None, groups: list[str] | None = None, slice_: Column | None = None) -> DataFrame:
     """The longest prefix, in the given order, whose costs stay within the budget; a first row beyond it gives nothing.
 
     Without groups the item cap is cut first (a top-k over sorted partitions), so one task sees at most ``max_items`` rows.
+    With ``slice_``, a column that does not fall along the order, costs of a group are summed slice by slice and no group
+    is sorted in one task.
     """
     d = df.withColumn("_cost", cost)
+    if slice_ is not None:
+        if max_items is not None:
+            d = running_sum(d, groups or [], order, F.lit(1).cast("bigint"), slice_, "_i").where(F.col("_i") <= max_items).drop("_i")
+        d = running_sum(d, groups or [], order, F.col("_cost"), slice_, "used")
+        return d.where(F.col("used") <= budget).drop("_cost")
     if max_items is not None and not groups:
         d = d.orderBy(*order).limit(max_items)
     w = Window.partitionBy(*(groups or [F.lit(1)])).orderBy(*order)

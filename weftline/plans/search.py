@@ -214,7 +214,7 @@ def redact_messages(spark: SparkSession, d: str) -> DataFrame:
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Of each repository, the longest run of its oldest documents that fits 20,000 bytes."""
     t = documents(spark, d).where("text IS NOT NULL AND repo_slug IS NOT NULL AND ts IS NOT NULL")
-    return ranking.within_budget(t.select("id", "repo_slug", "ts", F.octet_length("text").cast("bigint").alias("bytes")), F.col("bytes"), 20_000, ["ts", "id"], groups=["repo_slug"]).select("id", "repo_slug", "used")
+    return ranking.within_budget(t.select("id", "repo_slug", "ts", F.octet_length("text").cast("bigint").alias("bytes")), F.col("bytes"), 20_000, ["ts", "id"], groups=["repo_slug"], slice_=F.to_date("ts")).select("id", "repo_slug", "used")
 
 
 def list_page(spark: SparkSession, d: str) -> DataFrame:
