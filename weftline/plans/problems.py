@@ -91,6 +91,19 @@ t AS (
  UNION ALL SELECT c.id, t.root_uuid, t.node_depth + 1 FROM cur c JOIN t ON c.parent = t.msg_uuid)
 """
 
+_ALIAS_SQL = ", ".join(f"('{n}', '{c}')" for c, names in drift.ALIASES.items() for n in (c, *names))
+_FOOT_SQL = f"""WITH RECURSIVE al(path, concept) AS (VALUES {_ALIAS_SQL}),
+t AS (SELECT stream_id, file_no, trim(raw_json, chr(65279) || chr(8203) || chr(160) || ' ' || chr(9) || chr(10) || chr(13)) AS t FROM export_lines WHERE stream_id IS NOT NULL AND file_no IS NOT NULL),
+v AS (SELECT stream_id, file_no, t::JSON AS j FROM t WHERE json_valid(t) AND t[1] = '{{'),
+r AS (SELECT stream_id, file_no, k AS path, json_extract(j, '$."' || k || '"') AS x FROM (SELECT stream_id, file_no, j, unnest(json_keys(j)) AS k FROM v)
+ UNION ALL SELECT stream_id, file_no, path || '.' || k, json_extract(x, '$."' || k || '"') FROM (SELECT stream_id, file_no, path, x, unnest(json_keys(x)) AS k FROM r WHERE json_type(x) = 'OBJECT')),
+d AS (SELECT DISTINCT stream_id, file_no, path, CASE json_type(x) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type FROM r WHERE json_type(x) NOT IN ('NULL', 'OBJECT')),
+g AS (SELECT stream_id, file_no, path, string_agg(type, ',' ORDER BY type) AS types FROM d GROUP BY ALL),
+fl AS (SELECT stream_id, file_no, row_number() OVER w AS idx, lag(file_no) OVER w AS before, lead(file_no) OVER w AS after FROM (SELECT DISTINCT stream_id, file_no FROM t) WINDOW w AS (PARTITION BY stream_id ORDER BY file_no)),
+n AS (SELECT g.stream_id, g.file_no, path, types FROM g JOIN fl USING (stream_id, file_no) WHERE before IS NOT NULL),
+o AS (SELECT g.stream_id, fl.after AS file_no, path, types FROM g JOIN fl USING (stream_id, file_no) WHERE after IS NOT NULL),
+c AS (SELECT coalesce(n.stream_id, o.stream_id) AS stream_id, coalesce(n.file_no, o.file_no) AS file_no, coalesce(n.path, o.path) AS path, n.types AS nt, o.types AS ot FROM n FULL OUTER JOIN o ON n.stream_id = o.stream_id AND n.file_no = o.file_no AND n.path = o.path)"""
+
 ORACLES: dict[str, str] = {
     "p4_found": _LINKS_SQL + "SELECT msg_uuid, root_uuid, node_depth FROM t UNION ALL SELECT id, '', -1 FROM cur WHERE id NOT IN (SELECT msg_uuid FROM t)",
     "p4_descendants": _LINKS_SQL + """, u AS (
@@ -110,6 +123,12 @@ SELECT msg_uuid, root_uuid, first, first + n AS last FROM w JOIN s ON above = ms
     "p5_sessions": f"""SELECT session_id, count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(lost, false)) AS n_kept FROM (
  SELECT session_id, coalesce(trim(session_id), '') <> '' AND coalesce(trim(msg_uuid), '') <> '' AND row_number() OVER (PARTITION BY session_id, {_UUID_SQL} ORDER BY received_at, row_id) > 1 AS lost FROM message_rows)
  GROUP BY session_id""",
+    "p6_found": _FOOT_SQL + """, once AS (SELECT c.*, coalesce(al.concept, '~' || c.path) AS concept, row_number() OVER (PARTITION BY stream_id, file_no, coalesce(al.concept, '~' || c.path), nt IS NULL ORDER BY c.path) AS k FROM c LEFT JOIN al USING (path) WHERE nt IS NULL OR ot IS NULL)
+SELECT coalesce(a.stream_id, b.stream_id) AS stream_id, coalesce(a.file_no, b.file_no) AS file_no, coalesce(a.path, '') AS old_path, coalesce(b.path, '') AS new_path FROM (SELECT * FROM once WHERE nt IS NULL) a FULL OUTER JOIN (SELECT * FROM once WHERE ot IS NULL) b USING (stream_id, file_no, concept, k)
+UNION ALL SELECT stream_id, file_no, path, path FROM c WHERE nt <> ot""",
+    "p6_lifespans": _FOOT_SQL + """, i AS (SELECT stream_id, file_no, path, types, before, after, idx, idx - row_number() OVER (PARTITION BY stream_id, path, types ORDER BY idx) AS q FROM g JOIN fl USING (stream_id, file_no)),
+s AS (SELECT stream_id, path, types, q, min(file_no) AS first_file, max(file_no) AS last_file, count(*) AS n_files, arg_min(coalesce(before, -1), idx) <> -1 AS opens, arg_max(coalesce(after, -1), idx) <> -1 AS closes FROM i GROUP BY ALL)
+SELECT stream_id, path, types, row_number() OVER (PARTITION BY stream_id, path, types ORDER BY first_file) AS island, first_file, last_file, n_files, opens, closes FROM s""",
     "p1_found": r"""WITH RECURSIVE ok AS (SELECT line_id, trim(raw_json, chr(65279) || chr(8203) || chr(160) || ' ' || chr(9) || chr(10) || chr(13)) AS j FROM raw_transcripts),
 v AS (SELECT line_id, CASE WHEN json_valid(j) AND j[1] = '{' THEN j::JSON END AS j FROM ok),
 b AS (
