@@ -150,10 +150,6 @@ def changes(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tup
     return pairs.unionByName(retyped)
 
 
-def _json_path(path: str) -> str:
-    return "$" + "".join(f"['{p}']" for p in path.split("."))
-
-
 class _Raw(str):
     """A number as it is written."""
 
@@ -166,8 +162,10 @@ def _dump(v) -> str:
     return v if isinstance(v, _Raw) else json.dumps(v, ensure_ascii=False)
 
 
-def _left_over(text: str, known: list[list[tuple[str, ...]]]) -> list[dict[str, str]]:
-    """Fields of a record that give no column its value: unknown ones, and names of a column that another name goes before."""
+def _read(text: str, known: list[list[tuple[str, ...]]]) -> tuple[list[str | None], list[str | None], list[dict[str, str]]]:
+    """One parse of a record: the text of each column, the path it was found under, and the fields that give no column
+    its value (unknown ones, and names of a column that another name goes before)."""
+    fix = lambda x: x.encode("utf-8", "replace").decode()
     leaves: dict[tuple[str, ...], object] = {}
     record = json.loads(text, strict=False, parse_int=_Raw, parse_float=_Raw)
     stack: list[tuple[tuple[str, ...], dict]] = [((), record)]
@@ -179,16 +177,20 @@ def _left_over(text: str, known: list[list[tuple[str, ...]]]) -> list[dict[str,
             elif v is not None:
                 leaves[*steps, k] = v
 
-    def there(steps: tuple[str, ...]) -> bool:
-        at = record
+    def at(steps: tuple[str, ...]):
+        x = record
         for k in steps:
-            at = at.get(k) if isinstance(at, dict) else None
-        return at is not None
+            x = x.get(k) if isinstance(x, dict) else None
+        return x
 
+    values, paths = [], []
     for names in known:
-        leaves.pop(next((n for n in names if there(n)), ()), None)
-    fix = lambda x: x.encode("utf-8", "replace").decode()
-    return [{"path": fix(".".join(k.replace("\\", "\\\\").replace(".", "\\.") for k in steps)), "value": fix(v if isinstance(v, str) else _dump(v))} for steps, v in sorted(leaves.items())]
+        name = next((n for n in names if at(n) is not None), None)
+        x = at(name) if name else None
+        values.append(None if x is None else fix(x if isinstance(x, str) else _dump(x)))
+        paths.append(".".join(name) if name else None)
+        leaves.pop(name or (), None)
+    return values, paths, [{"path": fix(".".join(k.replace("\\", "\\\\").replace(".", "\\.") for k in steps)), "value": fix(v if isinstance(v, str) else _dump(v))} for steps, v in sorted(leaves.items())]
 
 
 def unified(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tuple[str, ...]] = ALIASES, casts: Mapping[str, str] = CASTS) -> DataFrame:
@@ -204,14 +206,16 @@ def unified(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
         for b in batches:
-            left = pa.array([_left_over(t, known) for t in b.column("_r").to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, left], names=[*b.schema.names, "_left"])
+            read = [_read(t, known) for t in b.column("_r").to_pylist()]
+            cols = [pa.array([r[0] for r in read], pa.list_(pa.string())), pa.array([r[1] for r in read], pa.list_(pa.string())), pa.array([r[2] for r in read], kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "_values", "_paths", "_left"])
 
-    whole = spread(whole).mapInArrow(run, T.StructType([*whole.schema.fields, T.StructField("_left", T.ArrayType(entry))]))
+    text_list = T.ArrayType(T.StringType())
+    fields = [T.StructField("_values", text_list), T.StructField("_paths", text_list), T.StructField("_left", T.ArrayType(entry))]
+    whole = spread(whole).mapInArrow(run, T.StructType([*whole.schema.fields[:-1], *fields]))
     out, unfit = [], []
-    for field, names in aliases.items():
-        paths = (*names[::-1], field)
-        text = F.coalesce(*[F.get_json_object("_r", _json_path(p)) for p in paths])
+    for i, field in enumerate(aliases):
+        text = F.get("_values", F.lit(i))
         kind = casts.get(field, "string")
         if kind == "timestamp":
             num = text.try_cast("double")
@@ -221,8 +225,7 @@ def unified(df: DataFrame, json_col: str = "raw_json", aliases: Mapping[str, tup
         else:
             value = text.try_cast(T._parse_datatype_string(kind)) if kind != "string" else text
         if kind != "string":
-            source = F.coalesce(*[F.when(F.get_json_object("_r", _json_path(p)).isNotNull(), F.lit(p)) for p in paths])
-            unfit.append(F.when(text.isNotNull() & value.isNull(), F.struct(source.alias("path"), text.alias("value"))))
+            unfit.append(F.when(text.isNotNull() & value.isNull(), F.struct(F.get("_paths", F.lit(i)).alias("path"), text.alias("value"))))
         out.append(value.alias(field.replace(".", "_")))
     left = F.concat("_left", F.filter(F.array(*unfit), lambda x: x.isNotNull())) if unfit else F.col("_left")
     rest = F.when(F.size(left) > 0, F.to_json(F.map_from_entries(left))).alias("rest")
