@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions import ids
 from weftline.functions.tools import TOOL_KINDS
 from weftline.operators import aggregates, canonical, filters, graph, reconcile, semantic
+from weftline.plans import problems
 from weftline.session import cut, table
 from weftline.sources import ingest
 
@@ -214,7 +215,10 @@ def _hash_sql(name: str, cols: tuple[str, ...]) -> str:
     return f"SELECT '{name}' AS table_name, count(*) AS n_rows, {parts} AS digest FROM (SELECT sha256({row}) AS h FROM {name})"
 
 
+_KINDS = " ".join(f"WHEN '{n}' THEN '{k}'" for k, names in TOOL_KINDS.items() for n in names)
+
 ORACLES = {
+    "tool_activities": problems.ORACLES["p1_found"].rsplit("\n", 1)[0] + f"\nSELECT e->>'name' AS block_name, CASE e->>'name' {_KINDS} ELSE 'unknown' END AS kind, count(*) AS n FROM b WHERE e->>'type' = 'tool_use' AND json_type(e->'name') = 'VARCHAR' GROUP BY ALL",
     "claude_messages": f"WITH {_C} SELECT path, seq, uuid AS native_id, CASE WHEN json_type(j->'parentUuid') = 'VARCHAR' THEN j->>'parentUuid' END AS parent_native_id, role, side AS is_sidechain, CASE WHEN coalesce(j->>'isMeta', '') <> 'true' THEN j->>'timestamp' END AS timestamp FROM m",
     "claude_activities": f"WITH {_C} SELECT path, name, kind, status, actor, anchor, count(*) AS n FROM a GROUP BY ALL",
     "claude_usage": f"WITH {_C} SELECT path, anchor, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, 'observed' AS token_source FROM o",

@@ -26,6 +26,14 @@ def session(app: str = "weftline", cores: str = "*", shuffle_partitions: int | N
     return b.getOrCreate()
 
 
+def _shared(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share. Only a local session may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a folder of one machine would be lost with it")
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
@@ -35,13 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-ckpt-"))
+        sc.setCheckpointDir(_shared(spark) or tempfile.mkdtemp(prefix="weftline-ckpt-"))
     return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors share: under ``spark.checkpoint.dir``, or a local one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = _shared(spark)
     return f"{shared.rstrip('/')}/weftline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weftline-")
 
 
