@@ -106,6 +106,10 @@ def test_a_hot_session_and_many_moved_clocks(spark, monkeypatch):
     assert kept(spark, rows, span_s=600) == want
     monkeypatch.setattr(cv, "MOST_BROADCAST", 3)
     assert kept(spark, rows) == want
+    monkeypatch.setattr(cv, "HOT_SPAN", 40)
+    assert kept(spark, rows) == want
+    monkeypatch.setattr(cv, "MOST_BROADCAST", 10**6)
+    assert kept(spark, rows) == want
 
 
 def test_infeasible_constraints(spark):

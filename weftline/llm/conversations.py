@@ -42,6 +42,8 @@ ROLES = {
 }
 #: Most sessions with a moved clock whose offsets are broadcast (some ten MB); more are joined in salted shares.
 MOST_BROADCAST = 100_000
+#: Messages of one session and span that are numbered in one task, and the most parts a span beyond it is cut into.
+HOT_SPAN, FINEST = 50_000, 4096
 #: Characters that show nothing.
 INVISIBLE = r"[\s\p{Z}\p{C}ᅟᅠㅤﾠ⠀͏]"
 
@@ -161,6 +163,17 @@ def _shifted(msgs: DataFrame, moved: DataFrame) -> DataFrame:
     return m.withColumn("shift", F.coalesce(F.try_element_at("offsets", F.col("role")), F.lit(0).cast("bigint"))).drop("offsets")
 
 
+def _finer(m: DataFrame, span_us: int) -> tuple[DataFrame, Column]:
+    """The part of its span ``_base`` a message lies in: 0, but for spans of more than HOT_SPAN messages, which are cut further."""
+    hot = m.where("_base IS NOT NULL").groupBy("session_id", "_base").count().where(F.col("count") > HOT_SPAN)
+    hot = hot.select("session_id", "_base", F.least(F.lit(FINEST), F.ceil(4 * F.col("count") / HOT_SPAN)).alias("_cuts"))
+    n = hot.limit(MOST_BROADCAST + 1).count()
+    if not n:
+        return m, F.lit(0)
+    m = m.join(F.broadcast(hot) if n <= MOST_BROADCAST else hot, ["session_id", "_base"], "left")
+    return m, F.coalesce(F.floor((F.col("at") - F.col("_base") * span_us) / span_us * F.col("_cuts")), F.lit(0)).cast("bigint")
+
+
 def conversations(rows: DataFrame, honour_sent_at: bool = False, span_s: int = 6 * 3600) -> DataFrame:
     """(session_id, turn_no, msg_uuid, role, corrected_us, clock_offset_us) of every message of every kept conversation."""
     msgs = cut(messages(rows))
@@ -169,8 +182,9 @@ def conversations(rows: DataFrame, honour_sent_at: bool = False, span_s: int = 6
     noted = cut(_solved(per.where(F.col("orphan") | (F.coalesce(F.array_min("least"), F.lit(0)) < 0))))
     m = _shifted(msgs, noted.where(F.col("offsets").isNotNull()).select("session_id", "offsets"))
     m = m.withColumn("at", F.col("us") if honour_sent_at else F.col("us") + F.col("shift"))
+    m, sub = _finer(m.withColumn("_base", F.floor(F.col("at") / (span_s * 1_000_000)).cast("bigint")), span_s * 1_000_000)
     # messages without a time have no turn but break their conversation; they are spread over spans of their own
-    span = F.coalesce(F.floor(F.col("at") / (span_s * 1_000_000)).cast("bigint"), F.pmod(F.hash("msg_uuid"), F.lit(64)) - (1 << 40))
+    span = F.coalesce(F.col("_base") * FINEST + sub, F.pmod(F.hash("msg_uuid"), F.lit(64)) - (1 << 55))
     own = Window.partitionBy("session_id", "_span").orderBy("at", "msg_uuid")
     speaks = F.col("role").isin("user", "assistant")
     d = m.select("session_id", span.alias("_span"), "msg_uuid", "at", "role", "shift", (F.col("us").isNull() | F.col("role").isNull() | (speaks & ~F.col("visible"))).alias("bad"))
