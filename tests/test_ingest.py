@@ -179,6 +179,32 @@ def test_requests(engine):
     assert json.loads(api.envelope(error=api.NotFound("x")))["error"]["code"] == "not_found"
 
 
+def test_a_store_is_read_with_its_write_ahead_log(spark, tmp_path):
+    path = tmp_path / "hermes.db"
+    con = sqlite3.connect(path)
+    con.execute("PRAGMA journal_mode=WAL")
+    con.execute("CREATE TABLE sessions(id TEXT, started_at REAL)")
+    con.execute("CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, timestamp REAL)")
+    con.execute("INSERT INTO sessions VALUES ('s', 1.0)")
+    con.commit()
+    con.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    con.executemany("INSERT INTO messages VALUES (?, 's', 'user', ?, ?)", [(i, "text " * 200 + str(i), float(i)) for i in range(60)])
+    con.commit()
+    log = (tmp_path / "hermes.db-wal").read_bytes()
+    (tmp_path / "plain.jsonl").write_text(CLAUDE)
+    snap = ingest.snapshots(spark, [str(path), str(tmp_path / "plain.jsonl")]).collect()
+    con.close()
+    got = {os.path.basename(r.path): r for r in snap}
+    assert set(got) == {"hermes.db", "plain.jsonl"} and len(log) > 10_000
+    assert len(texts(adapters.hermes_db, bytes(got["hermes.db"].content))) == 60
+    from weftline.sources.wal import merged
+
+    empty = merged(path.read_bytes(), None)
+    assert empty[18:20] == b"\x01\x01" and merged(b"", b"x") == b""
+    torn = merged(bytes(got["hermes.db"].content), log[:-100])  # the last transaction isn't whole: it stays out
+    assert torn == bytes(got["hermes.db"].content)
+
+
 def test_pages_leave_nothing_out_and_end(engine):
     _, e = engine
     from weftline.operators import paging

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.sources import adapters as ad
 from weftline.sources.lines import JSON_CAP, SQLITE_CAP, health, valid_prefix
+from weftline.sources.wal import merged
 
 #: Home-relative folders in which providers keep transcripts, with the suffix of their files.
 ROOTS = {
@@ -20,6 +21,8 @@ ROOTS = {
     "grok-build": (".grok/sessions", ".jsonl"), "kimi-code": (".kimi/sessions", ".jsonl"), "qoder": (".qoder/projects", ".jsonl"), "cline": (".cline/data", ".json"),
 }
 PROBE = 64 << 10
+#: Endings of sources that are SQLite files.
+SQLITE_ENDS = (".db", ".vscdb")
 
 EVENTS = (
     "path string, fingerprint string, len bigint, provider_id string, variant_id string, health string, event string, seq int, native_id string, parent_native_id string, role string, text string, timestamp string, is_sidechain boolean, "
@@ -54,9 +57,21 @@ def distinct_paths(paths: list[str]) -> list[str]:
 
 
 def snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, len, modified, fingerprint, content) of each file."""
-    d = spark.read.format("binaryFile").load(paths)
-    return d.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("len"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("fingerprint"), "content")
+    """(path, len, modified, fingerprint, content) of each file; a SQLite file comes with its write-ahead log merged in."""
+    stores = [p for p in paths if p.endswith(SQLITE_ENDS)]
+    d = spark.read.format("binaryFile").load([p for p in paths if p not in stores] + [p + "{,-wal}" for p in stores])
+    d = d.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"), "content")
+    if stores:
+        log = d.where(F.col("path").endswith("-wal")).select(F.expr("left(path, length(path) - 4)").alias("path"), F.col("content").alias("log"), F.col("modified").alias("log_modified"))
+        d = d.where(~F.col("path").endswith("-wal")).join(log, "path", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                whole = [merged(c, g) if p.endswith(SQLITE_ENDS) else c for p, c, g in zip(*(b[x].to_pylist() for x in ("path", "content", "log")))]
+                yield pa.RecordBatch.from_arrays([b["path"], b["modified"], pa.array(whole, pa.binary())], names=["path", "modified", "content"])
+
+        d = d.select("path", F.greatest("modified", "log_modified").alias("modified"), "content", "log").mapInArrow(run, "path string, modified timestamp, content binary")
+    return d.select("path", F.octet_length("content").cast("bigint").alias("len"), "modified", F.sha2("content", 256).alias("fingerprint"), "content")
 
 
 def unchanged_since(snap: DataFrame, paths: list[str]) -> DataFrame:
