@@ -239,7 +239,8 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return streams.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    """The table is a file or a folder of files: as a pattern its path may be either."""
+    return streams.event_stream(spark, f"{d}/{{events.parquet}}", table(spark, d, "events").schema)
 
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
@@ -253,8 +254,8 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.run_once(streams.sessions(_stream(spark, d), "30 minutes", "user_id"), f"sessions_{abs(hash(d))}", "complete", scratch(spark))
-    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+    out = streams.sessions(_stream(spark, d), "30 minutes", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+    return streams.run_once(out, f"sessions_{abs(hash(d))}", "complete", scratch(spark))
 
 
 QUERIES = {

@@ -34,9 +34,10 @@ def sliding(events: DataFrame, width: str, step: str, keys: list[str], late: str
 
 
 def sessions(events: DataFrame, gap: str, key: str, late: str = "10 minutes") -> DataFrame:
+    """An event that comes ``gap`` after the last one begins a session; Spark's window would still take it, so its gap is the last microsecond before."""
     d = events.withWatermark("ts", late) if events.isStreaming else events
-    g = d.groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return g.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
+    g = d.groupBy(F.session_window("ts", f"{gap} -1 microseconds"), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return g.select(key, F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), "n", "total")
 
 
 def usage_increments(counts: DataFrame, key: str = "document_id") -> DataFrame:
@@ -60,10 +61,20 @@ def usage_increments(counts: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there into a memory table and return it."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is there into Parquet files beside the checkpoint and return their rows; none pass through the driver.
+
+    A batch of complete mode replaces the files of the one before; batches of other modes add theirs. One that is run again
+    after a crash writes over its own.
+    """
+    spark, rows = stream.sparkSession, f"{checkpoint.rstrip('/')}/rows"
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]).write.mode("ignore").parquet(f"{rows}/none")
+
+    def batch(d: DataFrame, number: int) -> None:
+        d.write.mode("overwrite").parquet(f"{rows}/{'whole' if mode == 'complete' else number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(batch).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(rows)
 
 
 def follow_sources(spark: SparkSession, folder: str, glob: str, store: reconcile.Store, process, checkpoint: str):
